@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signalbox.functions.plan import once
 from signalbox.functions.regex import PatternError, checked, is_context_free
 
 log = logging.getLogger(__name__)
@@ -94,7 +95,7 @@ def redact_steps(
         test = _hit(F.col(text), pattern)
         if active is not None:
             test = active & test
-        df = df.withColumn(hit, test).withColumns(
+        df = df.withColumn(hit, once(test)).withColumns(
             {
                 count: F.when(
                     F.col(hit), F.regexp_count(F.col(text), F.lit(pattern.java))
@@ -117,7 +118,7 @@ def redact_value_steps(
     for i, pattern in enumerate(patterns):
         count = f"_n{i}"
         df = df.withColumns(
-            {count: _tally(values, pattern), values: F.transform(values, _cleaner(pattern))}
+            {count: _tally(values, pattern), values: once(F.transform(values, _cleaner(pattern)))}
         )
         counts.append(count)
     return df, counts

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from signalbox import schemas as S
 from signalbox.functions import rpc
+from signalbox.functions.plan import once
 from signalbox.session import prepare
 
 
@@ -31,14 +32,11 @@ def parse_messages(df: DataFrame, payload: str = "payload") -> DataFrame:
     )
     return (
         df.withColumn("_mark", F.crc32(p))
-        .withColumn("_w", rpc.wrapped(p, F.col("_mark")))
+        .withColumn("_w", once(rpc.wrapped(p, F.col("_mark"))))
         .withColumn("v", F.when(rpc.is_whole(F.col("_w"), F.col("_mark")), rpc.part(F.col("_w"), "$[0]")))
-        .withColumn(
-            "v",
-            F.when(rpc.starts_object(p) | F.is_variant_null(v), v),
-        )
-        .withColumn("parse_error", ~F.coalesce(v.isNotNull() & well_typed, F.lit(False)))
-        .withColumn("v", F.when(~F.col("parse_error"), v))
+        .withColumn("v", once(F.when(rpc.starts_object(p) | F.is_variant_null(v), v)))
+        .withColumn("parse_error", once(~F.coalesce(v.isNotNull() & well_typed, F.lit(False))))
+        .withColumn("v", once(F.when(~F.col("parse_error"), v)))
         .withColumn("msg_id", F.to_json(rpc.part(v, "$.id")))
         .withColumn("method", rpc.text_at(v, "$.method"))
         .drop("_mark", "_w")
@@ -95,7 +93,7 @@ def open_messages(df: DataFrame) -> DataFrame:
     return (
         tool_name(classify_kind(parse_messages(df)))
         .withColumn("lists_tools", F.coalesce(tools.isNotNull(), F.lit(False)))
-        .withColumn("status", F.lit(S.FORWARDED))
+        .withColumn("status", once(F.lit(S.FORWARDED)))
         .withColumn("block_reason", F.lit(None).cast("string"))
         .drop("v")
     )

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalbox import schemas as S
+from signalbox.functions.plan import once
 from signalbox.functions.regex import PatternError, checked
 from signalbox.operators.messages import in_chain
 
@@ -85,7 +86,7 @@ def evaluate_policy(df: DataFrame, rules: list[Rule], payload: str = "payload")
     """
     active = _active(df)
     hits = {
-        f"_hit{i}": F.when(active, rule_condition(rule, payload)).otherwise(False)
+        f"_hit{i}": once(F.when(active, rule_condition(rule, payload)).otherwise(False))
         for i, rule in enumerate(rules)
     }
     names = [F.when(F.col(f"_hit{i}"), F.lit(rule.name)) for i, rule in enumerate(rules)]
@@ -209,7 +210,7 @@ def _evaluate_part(df: DataFrame, part: list[tuple[int, Rule]], payload: str) ->
             ((r["direction"] == "") | (r["direction"] == F.col("direction")))
             & ((F.size(r["methods"]) == 0) | F.array_contains(r["methods"], method))
             & ((F.size(r["tools"]) == 0) | ((tool != "") & F.array_contains(r["tools"], tool)))
-            & F.forall(r["patterns"], lambda p: F.col(payload).rlike(p))
+            & F.forall(r["patterns"], lambda p: F.rlike(F.col(payload), p))
         )
 
     def named(action: str) -> Column:
@@ -223,7 +224,10 @@ def _evaluate_part(df: DataFrame, part: list[tuple[int, Rule]], payload: str) ->
     approval = F.get(approvals, F.size(approvals) - 1)["name"]
     return (
         df.join(F.broadcast(table), F.lit(True), "left")
-        .withColumn("_matched", F.when(_active(df), F.filter("_rules", matches)).otherwise(F.array().cast(_RULE_ARRAY)))
+        .withColumn(
+            "_matched",
+            once(F.when(_active(df), F.filter("_rules", matches)).otherwise(F.array().cast(_RULE_ARRAY))),
+        )
         .drop("_rules")
         .withColumn("_deny", deny)
         .withColumns(

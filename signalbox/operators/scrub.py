@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from signalbox import schemas as S
 from signalbox.functions import redact, rpc
+from signalbox.functions.plan import once
 from signalbox.operators.messages import in_chain
 
 # JSON text as tokens: a string (with the colon behind it, if it is a key), or
@@ -65,21 +66,22 @@ def scrub_json(
     wanted = redact.raw_test(text, patterns)
     if active is not None:
         wanted = active & wanted
-    df = df.withColumn("_walk", F.coalesce(wanted, F.lit(False)))
+    df = df.withColumn("_walk", once(F.coalesce(wanted, F.lit(False))))
     if known_json:
         df = df.withColumn("_json", F.col("_walk"))
     else:
         df = (
             df.withColumn("_mark", F.when(F.col("_walk"), F.crc32(text)))
-            .withColumn("_w", F.when(F.col("_walk"), rpc.wrapped(text, F.col("_mark"))))
-            .withColumn("_json", F.col("_walk") & rpc.is_whole(F.col("_w"), F.col("_mark")))
+            .withColumn("_w", once(F.when(F.col("_walk"), rpc.wrapped(text, F.col("_mark")))))
+            .withColumn("_json", once(F.col("_walk") & rpc.is_whole(F.col("_w"), F.col("_mark"))))
             .drop("_w", "_mark")
         )
     df = (
         df.withColumn(
-            "_tokens", F.when(F.col("_json"), F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)))
+            "_tokens",
+            once(F.when(F.col("_json"), F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)))),
         )
-        .withColumn("_before", F.transform("_tokens", _value_of))
+        .withColumn("_before", once(F.transform("_tokens", _value_of)))
         .withColumn("_after", F.col("_before"))
     )
     df, counts = redact.redact_value_steps(df, "_after", patterns)
@@ -102,7 +104,7 @@ def scrub_json(
         ),
         "",
     )
-    df = df.withColumn("scrub_count", redact.total(sums)).withColumn(
+    df = df.withColumn("scrub_count", once(redact.total(sums))).withColumn(
         column, F.when(F.col("_json") & (F.col("scrub_count") > 0), rebuilt).otherwise(text)
     )
     extra = ["scrub_count"]

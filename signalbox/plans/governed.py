@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import timedelta
 
@@ -52,6 +53,7 @@ def govern(
     protected_sessions: DataFrame | None = None,
     ttl: timedelta = DEFAULT_TTL,
     stage_dir: str | None = None,
+    request_ids: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Governed:
     """Run the chain over raw messages (unique `seq` within a session).
 
@@ -62,7 +64,8 @@ def govern(
 
     `decisions` without effect on a message lets it time out; None skips review,
     as if everything were approved. `usage` are the call counts pruning goes by.
-    `protected_sessions` (session_id) see all tools.
+    `protected_sessions` (session_id) see all tools. `request_ids` renames the
+    review requests where decisions know them by other ids.
     """
     screened = screen(raw, policy)
     if stage_dir:
@@ -71,7 +74,10 @@ def govern(
     approvals = None
     reviewed = screened
     if decisions is not None:
-        approvals = resolve_approvals(approval_requests(screened), decisions, timeout)
+        requests = approval_requests(screened)
+        if request_ids:
+            requests = request_ids(requests)
+        approvals = resolve_approvals(requests, decisions, timeout)
         reviewed = apply_approvals(screened, approvals)
 
     listings = list_responses(reviewed, ttl)

@@ -1,6 +1,15 @@
 """Table schemas and the closed value sets used in their string columns."""
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    ArrayType,
+    BooleanType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampType,
+)
 
 HOST_TO_SERVER = "host_to_server"
 SERVER_TO_HOST = "server_to_host"
@@ -24,11 +33,27 @@ FORWARDED = "forwarded"
 BLOCKED = "blocked"
 DROPPED = "dropped"
 
-RAW_MESSAGES = StructType.fromDDL(
+_TYPES = {
+    "BIGINT": LongType(),
+    "INT": IntegerType(),
+    "STRING": StringType(),
+    "BOOLEAN": BooleanType(),
+    "TIMESTAMP": TimestampType(),
+    "ARRAY<STRING>": ArrayType(StringType()),
+}
+
+
+def _table(columns: str) -> StructType:
+    """A schema from `name TYPE, ...`; unlike DDL parsing it needs no running session."""
+    pairs = (column.split() for column in columns.split(","))
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+RAW_MESSAGES = _table(
     "seq BIGINT, ts TIMESTAMP, session_id STRING, direction STRING, payload STRING"
 )
 
-MESSAGES = StructType.fromDDL(
+MESSAGES = _table(
     "id BIGINT, ts TIMESTAMP, session_id STRING, direction STRING, kind STRING, "
     "method STRING, msg_id STRING, payload STRING, size_bytes BIGINT, "
     "blocked BOOLEAN, audit BOOLEAN, scrub_count INT, matched_rules ARRAY<STRING>, "
@@ -36,29 +61,29 @@ MESSAGES = StructType.fromDDL(
     "block_reason STRING, status STRING, tools_pruned INT"
 )
 
-SESSIONS = StructType.fromDDL(
+SESSIONS = _table(
     "id STRING, started_at TIMESTAMP, ended_at TIMESTAMP, command STRING, "
     "args ARRAY<STRING>"
 )
 
-APPROVALS = StructType.fromDDL(
+APPROVALS = _table(
     "id STRING, ts TIMESTAMP, session_id STRING, direction STRING, method STRING, "
     "tool_name STRING, rule_name STRING, payload STRING, decision STRING, "
     "decided_at TIMESTAMP"
 )
 
 # decision_seq is the arrival number of the decision; it makes "first" exact.
-DECISIONS = StructType.fromDDL(
+DECISIONS = _table(
     "approval_id STRING, decided_at TIMESTAMP, approved BOOLEAN, decision_seq BIGINT"
 )
 
-TOOL_REGISTRY = StructType.fromDDL(
+TOOL_REGISTRY = _table(
     "session_id STRING, tool_name STRING, description STRING, first_seen TIMESTAMP"
 )
 
-RULES = StructType.fromDDL(
+RULES = _table(
     "ord INT, name STRING, action STRING, methods ARRAY<STRING>, tools ARRAY<STRING>, "
     "direction STRING, patterns ARRAY<STRING>"
 )
 
-CUSTOM_PATTERNS = StructType.fromDDL("ord INT, name STRING, pattern STRING, label STRING")
+CUSTOM_PATTERNS = _table("ord INT, name STRING, pattern STRING, label STRING")
