@@ -66,7 +66,7 @@ def build_patterns(spark: SparkSession, custom=()) -> tuple[Pattern, ...]:
     out = list(DEFAULT_PATTERNS)
     for c in custom:
         try:
-            java = checked(spark, c.pattern)
+            (java,) = checked(spark, [c.pattern])
         except PatternError as exc:
             log.warning("custom pattern %r skipped: %s", c.name, exc)
             continue

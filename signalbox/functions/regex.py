@@ -9,6 +9,7 @@ Constructs only Java knows are refused, so that a pattern means one thing.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
@@ -147,15 +148,19 @@ def _char_class(text: str) -> str:
     return head + "".join(out) + "]"
 
 
-def checked(spark: SparkSession, pattern: str) -> str:
-    """Translate and compile once on the driver, before any job starts."""
-    java = to_java(pattern)
-    try:
-        spark._jvm.java.util.regex.Pattern.compile(java)
-    except Exception as exc:  # py4j wraps the Java error
-        reason = str(getattr(exc, "java_exception", exc)).splitlines()[0]
-        raise PatternError(f"{pattern!r}: {reason}") from None
-    return java
+def checked(spark: SparkSession, patterns: Iterable[str]) -> list[str]:
+    """Translate and compile on the driver, before any job starts."""
+    compiler = spark._jvm.java.util.regex.Pattern
+    out = []
+    for pattern in patterns:
+        java = to_java(pattern)
+        try:
+            compiler.compile(java)
+        except Exception as exc:  # py4j wraps the Java error
+            reason = str(getattr(exc, "java_exception", exc)).splitlines()[0]
+            raise PatternError(f"{pattern!r}: {reason}") from None
+        out.append(java)
+    return out
 
 
 def is_context_free(pattern: str) -> bool:

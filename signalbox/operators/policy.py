@@ -47,30 +47,40 @@ class Policy:
         return self.custom_patterns if self.scrub else ()
 
 
-def java_patterns(spark: SparkSession, rule: Rule) -> list[str]:
+def java_patterns(rule: Rule) -> list[str]:
     """The rule's patterns for Spark; a bad one stops here, naming rule and pattern."""
-    out = []
-    for pattern in rule.patterns:
-        try:
-            out.append(checked(spark, pattern))
-        except PatternError as exc:
-            raise PatternError(f"rule {rule.name!r} pattern {pattern!r}: {exc}") from None
-    return out
+    if not rule.patterns:
+        return []
+    try:
+        return checked(SparkSession.getActiveSession(), rule.patterns)
+    except PatternError as exc:
+        raise PatternError(f"rule {rule.name!r}: {exc}") from None
 
 
-def rule_condition(rule: Rule, payload: str = "payload") -> Column:
-    """The rule as a boolean column. Cheap tests come first, patterns last."""
-    spark = SparkSession.getActiveSession()
+def _quote(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _one_of(column: str, values: tuple[str, ...]) -> str:
+    return f"{column} IN ({', '.join(map(_quote, values))})"
+
+
+def rule_sql(rule: Rule, payload: str = "payload") -> str:
+    """The rule as SQL text. Cheap tests come first, patterns last."""
     tests = []
     if rule.direction:
-        tests.append(F.col("direction") == rule.direction)
+        tests.append(f"direction = {_quote(rule.direction)}")
     if rule.methods:
-        tests.append(F.coalesce(F.col("method"), F.lit("")).isin(*rule.methods))
+        tests.append(_one_of("coalesce(method, '')", rule.methods))
     if rule.tools:
-        tool = F.coalesce(F.col("tool_name"), F.lit(""))
-        tests.append((tool != "") & tool.isin(*rule.tools))
-    tests.extend(F.col(payload).rlike(p) for p in java_patterns(spark, rule))
-    return reduce(lambda a, b: a & b, tests, F.lit(True))
+        tests.append(_one_of("nullif(tool_name, '')", rule.tools))
+    tests.extend(f"`{payload}` RLIKE {_quote(p)}" for p in java_patterns(rule))
+    return f"coalesce({' AND '.join(tests)}, false)" if tests else "true"
+
+
+def rule_condition(rule: Rule, payload: str = "payload") -> Column:
+    """The rule as a boolean column. From SQL text, as rule lists may be long."""
+    return F.expr(rule_sql(rule, payload))
 
 
 def _active(df: DataFrame) -> Column:
@@ -122,16 +132,11 @@ def evaluate_policy(df: DataFrame, rules: list[Rule], payload: str = "payload")
     )
 
 
-# A rule table is configuration. Up to this many rules become literal conditions,
-# whose patterns compile once per task.
-LITERAL_RULES = 64
-# Bounds what one broadcast holds; a larger table is worked off in several parts.
-RULES_PER_PART = 2000
-
-_RULE_ARRAY = (
-    "array<struct<ord:int,name:string,action:string,methods:array<string>,"
-    "tools:array<string>,direction:string,patterns:array<string>>>"
-)
+# Up to this many rules get a column each; more are tested as elements of an array.
+COLUMN_RULES = 64
+# A rule table is configuration, but may be long: this much of it is read and
+# tested at a time.
+RULES_PER_PART = 1000
 
 
 def read_rule_part(rules_df: DataFrame, after: int | None, size: int) -> list[tuple[int, Rule]]:
@@ -159,18 +164,18 @@ def evaluate_policy_table(
     df: DataFrame,
     rules_df: DataFrame,
     payload: str = "payload",
-    literal_rules: int = LITERAL_RULES,
+    column_rules: int = COLUMN_RULES,
     part_rules: int = RULES_PER_PART,
 ) -> DataFrame:
     """`evaluate_policy` with the rules as a table (unique `ord`).
 
-    Small tables turn into literal conditions. Larger ones are joined as one
-    broadcast row per bounded part of the rule list and tested by higher-order
-    functions, so messages are neither multiplied nor shuffled however many
+    The table is read in bounded parts when the plan is built, and every rule
+    becomes a literal condition: patterns compile once per task, cheap tests stop
+    before them, and messages are neither multiplied nor shuffled however many
     rules there are.
     """
-    first = read_rule_part(rules_df, None, literal_rules + 1)
-    if len(first) <= literal_rules:
+    first = read_rule_part(rules_df, None, column_rules + 1)
+    if len(first) <= column_rules:
         return evaluate_policy(df, [rule for _, rule in first], payload)
     none = F.lit(None).cast("string")
     out = df.withColumns(
@@ -183,7 +188,7 @@ def evaluate_policy_table(
     )
     after = None
     while part := read_rule_part(rules_df, after, part_rules):
-        out = _evaluate_part(out, part, payload)
+        out = _evaluate_part(out, [rule for _, rule in part], payload)
         after = part[-1][0]
     return out.withColumns(
         {
@@ -195,52 +200,36 @@ def evaluate_policy_table(
     ).drop("_actions")
 
 
-def _evaluate_part(df: DataFrame, part: list[tuple[int, Rule]], payload: str) -> DataFrame:
-    spark = df.sparkSession
-    rows = [
-        (o, r.name, r.action, list(r.methods), list(r.tools), r.direction, java_patterns(spark, r))
-        for o, r in part
-    ]
-    table = spark.createDataFrame([(rows,)], f"_rules {_RULE_ARRAY}")
-    method = F.coalesce(F.col("method"), F.lit(""))
-    tool = F.coalesce(F.col("tool_name"), F.lit(""))
-
-    def matches(r: Column) -> Column:
-        return (
-            ((r["direction"] == "") | (r["direction"] == F.col("direction")))
-            & ((F.size(r["methods"]) == 0) | F.array_contains(r["methods"], method))
-            & ((F.size(r["tools"]) == 0) | ((tool != "") & F.array_contains(r["tools"], tool)))
-            & F.forall(r["patterns"], lambda p: F.rlike(F.col(payload), p))
-        )
+def _evaluate_part(df: DataFrame, rules: list[Rule], payload: str) -> DataFrame:
+    """Add what these rules decide to what the rules before them decided."""
+    names = F.lit([r.name for r in rules])
+    actions = F.lit([r.action for r in rules])
+    cases = (f"CASE WHEN {rule_sql(r, payload)} THEN {i} END" for i, r in enumerate(rules))
+    hits = F.expr(f"array({', '.join(cases)})")
 
-    def named(action: str) -> Column:
-        return F.filter("_matched", lambda r: r["action"] == action)
+    def having(action: str) -> Column:
+        return F.filter("_matched", lambda i: F.get(actions, i) == action)
 
-    deny = F.get(named(S.DENY), F.lit(0))
     approvals = F.filter(
-        named(S.REQUIRE_APPROVAL),
-        lambda r: F.col("_deny").isNull() | (r["ord"] < F.col("_deny")["ord"]),
+        having(S.REQUIRE_APPROVAL), lambda i: F.col("_deny").isNull() | (i < F.col("_deny"))
     )
-    approval = F.get(approvals, F.size(approvals) - 1)["name"]
+    approval = F.get(names, F.get(approvals, F.size(approvals) - 1))
+    none_denied = F.col("deny_rule").isNull()
     return (
-        df.join(F.broadcast(table), F.lit(True), "left")
-        .withColumn(
+        df.withColumn(
             "_matched",
-            once(F.when(_active(df), F.filter("_rules", matches)).otherwise(F.array().cast(_RULE_ARRAY))),
+            once(F.when(_active(df), F.array_compact(hits)).otherwise(F.array().cast("array<int>"))),
         )
-        .drop("_rules")
-        .withColumn("_deny", deny)
+        .withColumn("_deny", F.get(having(S.DENY), F.lit(0)))
         .withColumns(
             {
-                "approval_rule": F.when(
-                    F.col("deny_rule").isNull(), F.coalesce(approval, F.col("approval_rule"))
-                ).otherwise(F.col("approval_rule")),
-                "deny_rule": F.coalesce(F.col("deny_rule"), F.col("_deny")["name"]),
+                "approval_rule": F.coalesce(F.when(none_denied, approval), F.col("approval_rule")),
+                "deny_rule": F.coalesce(F.col("deny_rule"), F.get(names, F.col("_deny"))),
                 "matched_rules": F.concat(
-                    "matched_rules", F.transform("_matched", lambda r: r["name"])
+                    "matched_rules", F.transform("_matched", lambda i: F.get(names, i))
                 ),
                 "_actions": F.array_union(
-                    "_actions", F.transform("_matched", lambda r: r["action"])
+                    "_actions", F.transform("_matched", lambda i: F.get(actions, i))
                 ),
             }
         )
