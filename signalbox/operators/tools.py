@@ -94,16 +94,9 @@ def tool_usage_counts(messages: DataFrame, sessions: DataFrame, last_n: int = 0)
     return used.groupBy("tool_name").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def tool_analytics(registry: DataFrame, messages: DataFrame, session: str | None = None) -> DataFrame:
-    """Every registered (tool, description) with its calls, sessions and last use.
-
-    The session filter restricts which tools are listed, not whose calls count.
-    Two descriptions of one tool give two rows, each with the full counts.
-    """
-    if session:
-        registry = registry.where(F.col("session_id") == session)
-    listed = registry.select("tool_name", "description").distinct()
-    usage = (
+def usage_by_tool(messages: DataFrame) -> DataFrame:
+    """Per tool: calls, sessions and last use."""
+    return (
         calls(messages)
         .groupBy("tool_name")
         .agg(
@@ -112,8 +105,25 @@ def tool_analytics(registry: DataFrame, messages: DataFrame, session: str | None
             F.max("ts").alias("last_used"),
         )
     )
+
+
+def tool_analytics(registry: DataFrame, messages: DataFrame, session: str | None = None) -> DataFrame:
+    """Every registered (tool, description) with its calls, sessions and last use.
+
+    The session filter restricts which tools are listed, not whose calls count.
+    Two descriptions of one tool give two rows, each with the full counts.
+    """
+    return listed_usage(registry, usage_by_tool(messages), session)
+
+
+def listed_usage(registry: DataFrame, usage: DataFrame, session: str | None = None) -> DataFrame:
+    """The registered tools with their usage; zero where there is none."""
+    if session:
+        registry = registry.where(F.col("session_id") == session)
     return (
-        listed.join(usage, "tool_name", "left")
+        registry.select("tool_name", "description")
+        .distinct()
+        .join(usage, "tool_name", "left")
         .select(
             "tool_name",
             "description",

@@ -25,6 +25,7 @@ from signalbox.plans import oracle as O
 from signalbox.session import work_dir
 from signalbox.sources import capture, tables
 from signalbox.sources import traffic as T
+from signalbox.streaming import live as L
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -851,3 +852,134 @@ def governed_messages(spark, sf):
         F.md5("payload").alias("payload_md5"),
         "size_bytes",
     )
+
+
+# --- streams: the events table read as a stream, to its end ------------------------------
+
+
+def _event_stream(spark, sf) -> DataFrame:
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    return T.typed_events(reader.parquet(sf))
+
+
+def _log_stream(spark, sf) -> DataFrame:
+    return L.stream_messages(T.traffic(_event_stream(spark, sf)), R.Policy(tuple(I.RULES), scrub=True))
+
+
+def _finish(streaming_query) -> None:
+    streaming_query.awaitTermination()
+
+
+@query("stream_messages", O.sql(_LOG_SQL, "logged"))  # T1
+def stream_messages(spark, sf):
+    root = work_dir(spark, "stream_messages")
+    _finish(L.append_messages(_log_stream(spark, sf), f"{root}/messages", f"{root}/checkpoint", once=True))
+    return _log_columns(tables.read_messages(spark, f"{root}/messages"))
+
+
+@query(
+    "fan_out",  # T3
+    O.sql(
+        """SELECT 'all' AS sink, count(*) AS n_messages FROM logged
+    UNION ALL SELECT 'blocked', count(*) FROM logged WHERE blocked
+    UNION ALL SELECT 'audited', count(*) FROM logged WHERE audit""",
+        "logged",
+    ),
+)
+def fan_out(spark, sf):
+    root = work_dir(spark, "fan_out")
+    sinks = {
+        "all": L.batch_table(f"{root}/all"),
+        "blocked": L.batch_table(f"{root}/blocked", lambda df: df.where("blocked")),
+        "audited": L.batch_table(f"{root}/audited", lambda df: df.where("audit")),
+    }
+    _finish(L.fan_out(_log_stream(spark, sf), sinks, f"{root}/checkpoint", once=True))
+    counts = [
+        spark.read.parquet(f"{root}/{name}").groupBy(F.lit(name).alias("sink")).agg(F.count(F.lit(1)).alias("n_messages"))
+        for name in sinks
+    ]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query(
+    "live_stats", O.sql(f"SELECT session_id, {_TOTALS}, {_KINDS} FROM logged GROUP BY session_id", "logged")  # T4
+)
+def live_stats(spark, sf):
+    root = work_dir(spark, "live_stats")
+    write = lambda df, n: df.write.mode("overwrite").parquet(f"{root}/stats")
+    running = L.live_stats(_log_stream(spark, sf)).writeStream.outputMode("complete").foreachBatch(write)
+    _finish(L.start(running, f"{root}/checkpoint", once=True))
+    return spark.read.parquet(f"{root}/stats")
+
+
+@query("live_tool_analytics", O.sql("SELECT * FROM analytics", "analytics"))  # T4
+def live_tool_analytics(spark, sf):
+    root = work_dir(spark, "live_tool_analytics")
+    write = lambda df, n: df.write.mode("overwrite").parquet(f"{root}/report")
+    messages = T.tool_calls(_event_stream(spark, sf))
+    _finish(L.live_tool_analytics(messages, I.registry(spark, sf), write, f"{root}/checkpoint", once=True))
+    return spark.read.parquet(f"{root}/report")
+
+
+@query(
+    "stream_correlation",  # T5
+    O.sql(
+        "SELECT session_id, msg_id, seq, ts AS response_ts, request_seq, request_ts FROM matched", "matched"
+    ),
+)
+def stream_correlation(spark, sf):
+    root = work_dir(spark, "stream_correlation")
+    events = J.list_events(P.open_messages(T.traffic(_event_stream(spark, sf))))
+    pairing = L.ListPairing(root, I.LIST_TTL)
+    run = pairing.start(events, f"{root}/checkpoint", once=True)
+    _finish(run)
+    last = run.lastProgress["batchId"]
+    return pairing.matches(spark).unionByName(pairing.pending(spark, last))
+
+
+# The last requests stay open until a later event passes their deadline; the
+# comparison ends two days before the events do.
+_REPORTED = "2024-01-28 00:00:00"
+
+
+@query(
+    "stream_approvals",  # T6
+    O.sql(
+        f"""SELECT id, session_id, seq, ts, decision, decided_at FROM resolved
+    WHERE ts < TIMESTAMP '{_REPORTED}'""",
+        "resolved",
+    ),
+)
+def stream_approvals(spark, sf):
+    root = work_dir(spark, "stream_approvals")
+    policy_rows = R.enforce_policy(P.open_messages(T.traffic(_event_stream(spark, sf))), I.RULES)
+    requests = A.approval_requests(policy_rows).withColumn("id", T.request_id(F.col("seq"))).drop("payload")
+    resolved = L.resolve_stream(requests, T.decisions(_event_stream(spark, sf)), I.REVIEW_TIMEOUT)
+    writer = resolved.writeStream.format("parquet").option("path", f"{root}/resolved")
+    _finish(L.start(writer, f"{root}/checkpoint", once=True))
+    return (
+        spark.read.parquet(f"{root}/resolved")
+        .where(F.col("ts") < F.lit(_REPORTED).cast("timestamp"))
+        .select("id", "session_id", "seq", "ts", "decision", "decided_at")
+    )
+
+
+@query("stream_registry", O.sql("SELECT * FROM seen", "seen"))  # T7
+def stream_registry(spark, sf):
+    root = work_dir(spark, "stream_registry")
+    write = lambda df, n: df.write.mode("overwrite").parquet(f"{root}/registry")
+    running = L.register_stream(T.sightings(_event_stream(spark, sf)))
+    _finish(L.start(running.writeStream.outputMode("complete").foreachBatch(write), f"{root}/checkpoint", once=True))
+    return spark.read.parquet(f"{root}/registry")
+
+
+@query(
+    "stream_new_tools",  # T7
+    O.sql("SELECT session_id, tool_name FROM seen", "seen"),
+)
+def stream_new_tools(spark, sf):
+    root = work_dir(spark, "stream_new_tools")
+    seen = L.new_tools(T.sightings(_event_stream(spark, sf))).select("session_id", "tool_name")
+    _finish(L.start(seen.writeStream.format("parquet").option("path", f"{root}/seen"), f"{root}/checkpoint", once=True))
+    return spark.read.parquet(f"{root}/seen")
