@@ -30,6 +30,8 @@ class Pattern:
     # A cheap test on raw JSON text: no hit in any value unless this is found in
     # the text around it. None: the values must be looked at.
     raw: str | None = None
+    # The mark it leaves is itself a hit, so that equal text may have hits.
+    finds_own_mark: bool = False
 
 
 # What counts as a secret or personal data, in order of application.
@@ -70,13 +72,19 @@ def build_patterns(spark: SparkSession, custom=()) -> tuple[Pattern, ...]:
         except PatternError as exc:
             log.warning("custom pattern %r skipped: %s", c.name, exc)
             continue
-        out.append(Pattern(c.label, java, raw=java if is_context_free(c.pattern) else None))
+        own = spark._jvm.java.util.regex.Pattern.compile(java).matcher(mark(c.label)).find()
+        raw = java if is_context_free(c.pattern) else None
+        out.append(Pattern(c.label, java, raw=raw, finds_own_mark=own))
     return tuple(out)
 
 
+def mark(label: str) -> str:
+    return f"[REDACTED:{label}]"
+
+
 def replacement(label: str) -> str:
-    """The redaction mark, safe as a regex replacement."""
-    return f"[REDACTED:{label}]".replace("\\", "\\\\").replace("$", "\\$")
+    """The mark, safe as a regex replacement."""
+    return mark(label).replace("\\", "\\\\").replace("$", "\\$")
 
 
 def _hit(text: Column, pattern: Pattern) -> Column:
@@ -117,17 +125,21 @@ def redact_value_steps(
     counts = []
     for i, pattern in enumerate(patterns):
         count = f"_n{i}"
+        df = df.withColumn("_next", once(F.transform(values, _cleaner(pattern))))
+        touched = F.lit(True) if pattern.finds_own_mark else ~F.col(values).eqNullSafe(F.col("_next"))
         df = df.withColumns(
-            {count: _tally(values, pattern), values: once(F.transform(values, _cleaner(pattern)))}
+            {
+                count: F.when(touched, _tally(values, pattern)).otherwise(0),
+                values: F.col("_next"),
+            }
         )
         counts.append(count)
-    return df, counts
+    return df.drop("_next"), counts
 
 
 def _tally(values: str, pattern: Pattern) -> Column:
     def add(acc: Column, x: Column) -> Column:
-        found = F.regexp_count(x, F.lit(pattern.java))
-        return acc + F.when(_hit(x, pattern), found).otherwise(0)
+        return acc + F.coalesce(F.regexp_count(x, F.lit(pattern.java)), F.lit(0))
 
     return F.coalesce(F.aggregate(values, F.lit(0), add), F.lit(0))
 

@@ -18,13 +18,16 @@ def type_of(value: Column) -> Column:
 
 
 def is_text_or_absent(v: Column, path: str) -> Column:
-    kind = type_of(part(v, path))
-    return kind.isNull() | kind.isin("STRING", "VOID")
+    return F.coalesce(type_of(part(v, path)), F.lit("VOID")).isin("STRING", "VOID")
 
 
 def text_at(v: Column, path: str) -> Column:
-    """A JSON string's content; NULL for anything else, and for the empty string."""
-    text = F.when(type_of(part(v, path)) == "STRING", F.try_variant_get(v, path, "string"))
+    """A JSON string's content; NULL for anything else."""
+    return F.when(type_of(part(v, path)) == "STRING", F.try_variant_get(v, path, "string"))
+
+
+def unless_empty(text: Column) -> Column:
+    """For plain columns only: the expression is used twice."""
     return F.when(text != "", text)
 
 

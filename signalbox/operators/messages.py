@@ -21,14 +21,17 @@ def parse_messages(df: DataFrame, payload: str = "payload") -> DataFrame:
     """
     prepare(df.sparkSession)
     v, p = F.col("v"), F.col(payload)
-    code = rpc.type_of(rpc.part(v, "$.error.code"))
+    code = F.coalesce(rpc.type_of(rpc.part(v, "$.error.code")), F.lit("VOID"))
     error = rpc.part(v, "$.error")
+    good_error = F.is_variant_null(error) | (
+        rpc.is_object(v, "$.error")
+        & code.isin("BIGINT", "VOID")
+        & rpc.is_text_or_absent(v, "$.error.message")
+    )
     well_typed = (
         rpc.is_text_or_absent(v, "$.jsonrpc")
         & rpc.is_text_or_absent(v, "$.method")
-        & (error.isNull() | F.is_variant_null(error) | rpc.is_object(v, "$.error"))
-        & (code.isNull() | code.isin("BIGINT", "VOID"))
-        & rpc.is_text_or_absent(v, "$.error.message")
+        & (error.isNull() | good_error)
     )
     return (
         df.withColumn("_mark", F.crc32(p))
@@ -37,8 +40,8 @@ def parse_messages(df: DataFrame, payload: str = "payload") -> DataFrame:
         .withColumn("v", once(F.when(rpc.starts_object(p) | F.is_variant_null(v), v)))
         .withColumn("parse_error", once(~F.coalesce(v.isNotNull() & well_typed, F.lit(False))))
         .withColumn("v", once(F.when(~F.col("parse_error"), v)))
-        .withColumn("msg_id", F.to_json(rpc.part(v, "$.id")))
-        .withColumn("method", rpc.text_at(v, "$.method"))
+        .withColumns({"msg_id": F.to_json(rpc.part(v, "$.id")), "method": rpc.text_at(v, "$.method")})
+        .withColumn("method", rpc.unless_empty(F.col("method")))
         .drop("_mark", "_w")
     )
 
@@ -60,10 +63,8 @@ def classify_kind(df: DataFrame) -> DataFrame:
 
 def tool_name(df: DataFrame) -> DataFrame:
     """Add `tool_name`: `params.name` of a tools/call if it is a string, else NULL."""
-    return df.withColumn(
-        "tool_name",
-        F.when(F.col("method") == "tools/call", rpc.text_at(F.col("v"), "$.params.name")),
-    )
+    called = F.when(F.col("method") == "tools/call", rpc.text_at(F.col("v"), "$.params.name"))
+    return df.withColumn("tool_name", called).withColumn("tool_name", rpc.unless_empty(F.col("tool_name")))
 
 
 def rpc_error_fields(df: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ def open_messages(df: DataFrame) -> DataFrame:
     tools = F.try_variant_get(F.col("v"), "$.result.tools", "array<variant>")
     return (
         tool_name(classify_kind(parse_messages(df)))
-        .withColumn("lists_tools", F.coalesce(tools.isNotNull(), F.lit(False)))
+        .withColumn("lists_tools", (F.col("kind") == S.RESPONSE) & tools.isNotNull())
         .withColumn("status", once(F.lit(S.FORWARDED)))
         .withColumn("block_reason", F.lit(None).cast("string"))
         .drop("v")

@@ -311,7 +311,7 @@ def evaluate_policy_table(spark, sf):
     f"WITH {O.scrubbed('documents', 'doc_id', 'text')} SELECT doc_id, md5(text) AS text_md5 FROM scrubbed",
 )
 def scrub_text(spark, sf):
-    docs = T.table(spark, sf, "documents").select("doc_id", "text")
+    docs = I.texts(spark, sf, "documents", "doc_id").select("doc_id", "text")
     return D.scrub_text(docs, "text").select("doc_id", F.md5("text").alias("text_md5"))
 
 
@@ -321,7 +321,7 @@ def scrub_text(spark, sf):
     f"SELECT page_id, {O.total()} AS scrub_count, md5(text) AS html_md5 FROM scrubbed",
 )
 def scrub_count(spark, sf):
-    pages = T.table(spark, sf, "pages").select("page_id", "html")
+    pages = I.texts(spark, sf, "pages", "page_id").select("page_id", "html")
     return D.scrub_text(pages, "html").select(
         "page_id", F.col("scrub_count").cast("bigint").alias("scrub_count"), F.md5("html").alias("html_md5")
     )
@@ -336,7 +336,7 @@ _WITH_TOKEN = (*O.PII, O.HEX_TOKEN)
     f"SELECT doc_id, {O.total(_WITH_TOKEN)} AS scrub_count, md5(text) AS text_md5 FROM scrubbed",
 )
 def custom_patterns(spark, sf):
-    docs = T.table(spark, sf, "documents").select("doc_id", "text")
+    docs = I.texts(spark, sf, "documents", "doc_id").select("doc_id", "text")
     return D.scrub_text(docs, "text", I.CUSTOM).select(
         "doc_id", F.col("scrub_count").cast("bigint").alias("scrub_count"), F.md5("text").alias("text_md5")
     )
@@ -352,7 +352,7 @@ _DOC_PAYLOAD = """md5('{"jsonrpc":"2.0","id":' || doc_id || ',"result":{"lang":'
     f"SELECT doc_id, {O.total(_WITH_TOKEN)} AS scrub_count, {_DOC_PAYLOAD} AS payload_md5 FROM scrubbed",
 )
 def scrub_json(spark, sf):
-    docs = T.document_messages(T.table(spark, sf, "documents"))
+    docs = T.document_messages(I.texts(spark, sf, "documents", "doc_id"))
     return D.scrub_json(docs, custom_patterns=I.CUSTOM).select(
         F.col("seq").alias("doc_id"),
         F.col("scrub_count").cast("bigint").alias("scrub_count"),
@@ -373,7 +373,7 @@ def scrub_json(spark, sf):
     FROM scrubbed""",
 )
 def scrub_messages(spark, sf):
-    opened = P.open_messages(T.chat(T.table(spark, sf, "conversations")))
+    opened = P.open_messages(T.chat(I.texts(spark, sf, "conversations", "conv_id")))
     return D.scrub_messages(opened).select(
         "session_id",
         "seq",
@@ -389,7 +389,7 @@ def scrub_messages(spark, sf):
     f"{O.label_rows('source AS session_id, ')}) GROUP BY session_id, label HAVING sum(n) > 0",
 )
 def pii_report(spark, sf):
-    docs = T.document_messages(T.table(spark, sf, "documents"))
+    docs = T.document_messages(I.texts(spark, sf, "documents", "doc_id"))
     return D.pii_report(D.scrub_messages(P.open_messages(docs), label_counts=True), "session_id")
 
 

@@ -37,7 +37,11 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def raw(spark: SparkSession, sf: str) -> DataFrame:
-    return T.traffic(events(spark, sf))
+    return T.traffic(T.typed_events(T.spread(spark.read.parquet(f"{sf}/events.parquet"), "event_id")))
+
+
+def texts(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    return T.spread(T.table(spark, sf, name), key)
 
 
 def opened(spark: SparkSession, sf: str) -> DataFrame:

@@ -26,8 +26,14 @@ def build_session(app: str = "signalbox", master: str | None = None, **conf) ->
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Repeated keys in one JSON object are legal in captures: the last one counts."""
+    """Settings the message stages rely on, for sessions built elsewhere.
+
+    Repeated keys in one JSON object are legal in captures: the last one counts.
+    The JVM never compiles methods over 8000 bytes, so a stage whose generated
+    code exceeds that runs faster as one projection per operator.
+    """
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
