@@ -47,8 +47,14 @@ def approval_requests(df: DataFrame, ids: str = "key") -> DataFrame:
         F.lit(None).cast("timestamp").alias("decided_at"),
         "seq",
     )
+    return name_requests(requests, ids)
+
+
+def name_requests(requests: DataFrame, ids: str) -> DataFrame:
+    """The ids of `approval_requests`. Numbering reads the requests twice: stage them."""
     if ids == "key":
         return requests.withColumn("id", F.concat_ws("-", "session_id", "seq"))
+    requests = requests.drop("id")
     keys = ("session_id",) if ids == "session" else ()
     return (
         numbered(requests, "_n", "ts", "session_id", "seq", keys=keys)

@@ -174,9 +174,9 @@ def evaluate_policy_table(
     before them, and messages are neither multiplied nor shuffled however many
     rules there are.
     """
-    first = read_rule_part(rules_df, None, column_rules + 1)
-    if len(first) <= column_rules:
-        return evaluate_policy(df, [rule for _, rule in first], payload)
+    part = read_rule_part(rules_df, None, part_rules)
+    if len(part) <= column_rules and len(part) < part_rules:
+        return evaluate_policy(df, [rule for _, rule in part], payload)
     none = F.lit(None).cast("string")
     out = df.withColumns(
         {
@@ -186,10 +186,10 @@ def evaluate_policy_table(
             "_actions": F.array().cast("array<string>"),
         }
     )
-    after = None
-    while part := read_rule_part(rules_df, after, part_rules):
+    while part:
         out = _evaluate_part(out, [rule for _, rule in part], payload)
-        after = part[-1][0]
+        full = len(part) == part_rules
+        part = read_rule_part(rules_df, part[-1][0], part_rules) if full else []
     return out.withColumns(
         {
             "matched_rules": F.when(F.size("matched_rules") > 0, F.col("matched_rules")),

@@ -418,7 +418,7 @@ def correlate_lists(spark, sf):
     ),
 )
 def approval_requests(spark, sf):
-    return A.approval_requests(I.enforced(spark, sf), ids="global").drop("decided_at", "seq")
+    return A.name_requests(I.requests(spark, sf), "global").drop("decided_at", "seq")
 
 
 @query(
@@ -430,7 +430,7 @@ def approval_requests(spark, sf):
     ),
 )
 def approval_requests_by_session(spark, sf):
-    return A.approval_requests(I.enforced(spark, sf), ids="session").select("id", "session_id", "seq")
+    return A.name_requests(I.requests(spark, sf), "session").select("id", "session_id", "seq")
 
 
 @query(
@@ -457,8 +457,10 @@ _REASON = """CASE WHEN l.policy_action = 'deny' THEN l.block_reason
     ),
 )
 def apply_approvals(spark, sf):
-    resolved = A.resolve_approvals(I.requests(spark, sf), I.decisions(spark, sf), I.REVIEW_TIMEOUT)
-    return A.apply_approvals(I.enforced(spark, sf), resolved).select("seq", "session_id", "status", "block_reason")
+    messages = I.staged_messages(I.enforced(spark, sf))
+    requests = A.approval_requests(messages).withColumn("id", T.request_id(F.col("seq")))
+    resolved = A.resolve_approvals(requests, I.decisions(spark, sf), I.REVIEW_TIMEOUT)
+    return A.apply_approvals(messages, resolved).select("seq", "session_id", "status", "block_reason")
 
 
 _AS_OF = "2024-01-15 12:00:00"
@@ -590,12 +592,16 @@ def split_outcomes(spark, sf):
 # --- tools -------------------------------------------------------------------------------
 
 
+def _listings(messages: DataFrame) -> DataFrame:
+    return I.staged_messages(J.list_responses(messages, I.LIST_TTL), "listings")
+
+
 @query(
     "extract_tools",  # U1
     O.sql("SELECT session_id, seq, ts, CAST(pos AS BIGINT) AS pos, tool_name, description FROM tools", "tools"),
 )
 def extract_tools(spark, sf):
-    return U.extract_tools(J.list_responses(I.opened(spark, sf), I.LIST_TTL))
+    return U.extract_tools(_listings(I.staged_messages(I.opened(spark, sf))))
 
 
 @query("tool_usage_counts", O.sql("SELECT tool_name, count(*) AS cnt FROM calls GROUP BY tool_name", "calls"))  # U2
@@ -658,25 +664,23 @@ def tool_status(spark, sf):
     return U.tool_status(U.tool_analytics(I.registry(spark, sf), I.calls(spark, sf)))
 
 
-def _listings(spark, sf) -> DataFrame:
-    return J.list_responses(I.opened(spark, sf), I.LIST_TTL)
-
-
 _PRUNE_SQL = "SELECT session_id, seq, CAST(pos AS BIGINT) AS pos, tool_name, keep FROM %s"
 
 
 @query("prune_tools_unused", O.sql(_PRUNE_SQL % "pruned_unused", "pruned_unused"))  # U6
 def prune_tools_unused(spark, sf):
-    entries = U.tool_entries(_listings(spark, sf))
-    return U.prune_tools(entries, I.usage(spark, sf, I.RECENT_SESSIONS), I.PRUNE_UNUSED).select(
+    messages = I.staged_messages(I.opened(spark, sf))
+    usage = U.tool_usage_counts(messages, T.sessions(I.events(spark, sf)), I.RECENT_SESSIONS)
+    return U.prune_tools(U.tool_entries(_listings(messages)), usage, I.PRUNE_UNUSED).select(
         "session_id", "seq", "pos", "tool_name", "keep"
     )
 
 
 @query("prune_tools_top_k", O.sql(_PRUNE_SQL % "pruned_top", "pruned_top"))  # U6
 def prune_tools_top_k(spark, sf):
-    entries = U.tool_entries(_listings(spark, sf))
-    return U.prune_tools(entries, I.usage(spark, sf, 0), I.PRUNE_TOP).select(
+    messages = I.staged_messages(I.opened(spark, sf))
+    usage = U.tool_usage_counts(messages, T.sessions(I.events(spark, sf)))
+    return U.prune_tools(U.tool_entries(_listings(messages)), usage, I.PRUNE_TOP).select(
         "session_id", "seq", "pos", "tool_name", "keep"
     )
 
@@ -688,8 +692,10 @@ _REBUILT_TOP = """SELECT session_id, seq, CAST(sum(CASE WHEN keep THEN 0 ELSE 1
 
 @query("rebuild_list_responses", O.sql(_REBUILT_TOP, "pruned_top"))  # U7
 def rebuild_list_responses(spark, sf):
-    listings = _listings(spark, sf)
-    marks = U.prune_tools(U.tool_entries(listings), I.usage(spark, sf, 0), I.PRUNE_TOP)
+    messages = I.staged_messages(I.opened(spark, sf))
+    listings = _listings(messages)
+    usage = U.tool_usage_counts(messages, T.sessions(I.events(spark, sf)))
+    marks = U.prune_tools(U.tool_entries(listings), usage, I.PRUNE_TOP)
     return U.rebuild_list_responses(listings, marks).select(
         "session_id", "seq", F.col("tools_pruned").cast("bigint").alias("tools_pruned"), "payload"
     )
@@ -705,11 +711,12 @@ def rebuild_list_responses(spark, sf):
     ),
 )
 def pruned_tool_summary(spark, sf):
-    listings = _listings(spark, sf)
-    entries = U.tool_entries(listings)
-    marks = U.prune_tools(entries, I.usage(spark, sf, 0), I.PRUNE_TOP)
+    messages = I.staged_messages(I.opened(spark, sf))
+    entries = U.tool_entries(_listings(messages))
+    usage = U.tool_usage_counts(messages, T.sessions(I.events(spark, sf)))
+    marks = U.prune_tools(entries, usage, I.PRUNE_TOP)
     analytics = U.tool_analytics(
-        entries.where("described").select("session_id", "tool_name", "description"), I.opened(spark, sf)
+        entries.where("described").select("session_id", "tool_name", "description"), messages
     )
     return U.mark_pruned(analytics, marks).select("tool_name", "call_count", "is_pruned")
 

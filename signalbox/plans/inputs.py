@@ -12,7 +12,9 @@ from signalbox.operators.approvals import approval_requests
 from signalbox.operators.messages import open_messages, to_log_rows
 from signalbox.operators.policy import CustomPattern, Rule, enforce_policy
 from signalbox.operators.tools import PruneConfig, tool_usage_counts
+from signalbox.session import work_dir
 from signalbox.sources import traffic as T
+from signalbox.sources.tables import register_tools, staged
 
 RULES = [
     Rule("block-early-deletes", S.DENY, ("tools/call",), ("delete_file",), patterns=(r'"k": [0-9]\b',)),
@@ -61,8 +63,6 @@ def calls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def registry(spark: SparkSession, sf: str) -> DataFrame:
-    from signalbox.sources.tables import register_tools
-
     seen = register_tools(T.sightings(events(spark, sf)))
     idle = seen.groupBy("session_id").agg(F.min("first_seen").alias("first_seen")).select(
         "session_id",
@@ -74,7 +74,14 @@ def registry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
-    return approval_requests(enforced(spark, sf)).withColumn("id", T.request_id(F.col("seq")))
+    """Review requests, written once: they are few, and finding them costs a full parse."""
+    found = approval_requests(enforced(spark, sf)).withColumn("id", T.request_id(F.col("seq")))
+    return staged(found, work_dir(spark, "requests"))
+
+
+def staged_messages(df: DataFrame, name: str = "messages") -> DataFrame:
+    """Messages that a query uses several times, parsed once and read by column."""
+    return staged(df, work_dir(df.sparkSession, name))
 
 
 def decisions(spark: SparkSession, sf: str) -> DataFrame:
