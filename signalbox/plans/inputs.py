@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalbox import schemas as S
@@ -54,8 +54,12 @@ def enforced(spark: SparkSession, sf: str) -> DataFrame:
     return enforce_policy(opened(spark, sf), RULES)
 
 
-def logged(spark: SparkSession, sf: str) -> DataFrame:
-    return to_log_rows(enforced(spark, sf))
+def logged(spark: SparkSession, sf: str, keep: Column | None = None) -> DataFrame:
+    """Log rows of all traffic, or of what `keep` selects before anything is parsed."""
+    messages = raw(spark, sf)
+    if keep is not None:
+        messages = messages.where(keep)
+    return to_log_rows(enforce_policy(open_messages(messages), RULES))
 
 
 def calls(spark: SparkSession, sf: str) -> DataFrame:
