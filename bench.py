@@ -17,7 +17,6 @@ HEADLINE = (
     "tool_analytics",
     "tool_usage_recent_sessions",
     "stats_totals",
-    "stats_by_session",
     "method_counts",
     "query_messages",
     "parse_messages",
@@ -25,15 +24,11 @@ HEADLINE = (
     "evaluate_policy",
     "evaluate_policy_table",
     "scrub_text",
-    "scrub_count",
     "scrub_json",
-    "scrub_messages",
     "pii_report",
     "correlate_lists",
-    "approval_requests",
     "resolve_approvals",
     "apply_approvals",
-    "rejected_decisions",
     "prune_tools_top_k",
     "rebuild_list_responses",
     "governed_messages",

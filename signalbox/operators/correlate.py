@@ -54,7 +54,10 @@ def match_events(events: DataFrame, ttl: timedelta) -> DataFrame:
     key = ["session_id", "msg_id"]
     slot_us = max(1, micros(ttl) // _SLOTS_PER_TTL)
     slot = F.floor(F.unix_micros("ts") / F.lit(slot_us)).cast("bigint")
-    slotted = events.withColumn("slot", slot).repartition(*key, "slot")
+    # The join below implies these tests for one of its sides; stated for both,
+    # they leave the two with the same shuffle, which then runs once.
+    known = F.col("session_id").isNotNull() & F.col("msg_id").isNotNull() & F.col("slot").isNotNull()
+    slotted = events.withColumn("slot", slot).where(known).repartition(*key, "slot")
     last = F.struct("ts", "seq", "is_request")
     block = F.floor(F.col("slot") / F.lit(_SLOTS_PER_BLOCK)).cast("bigint")
 

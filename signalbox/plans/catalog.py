@@ -81,6 +81,30 @@ def stored_messages(spark, sf):
     )
 
 
+@query(
+    "read_envelopes",  # S1
+    O.sql("SELECT seq, ts, session_id, direction, payload FROM traffic", "traffic"),
+)
+def read_envelopes(spark, sf):
+    path = work_dir(spark, "capture")
+    I.raw(spark, sf).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+    return capture.read_envelopes(spark, path).drop("oversize")
+
+
+@query(
+    "message_table",  # S2
+    O.sql(
+        """SELECT id, ts, session_id, direction, kind, method, msg_id, payload, size_bytes, blocked, audit,
+      scrub_count, rules, tool_name, policy_action, policy_rule, block_reason, status FROM logged""",
+        "logged",
+    ),
+)
+def message_table(spark, sf):
+    path = work_dir(spark, "message_table")
+    tables.write_messages(I.logged(spark, sf), path)
+    return _log_columns(tables.read_messages(spark, path))
+
+
 @query(
     "sessions_from_events",  # S3
     O.sql(
@@ -281,6 +305,29 @@ def rule_hit_counts(spark, sf):
     return R.rule_hit_counts(I.logged(spark, sf))
 
 
+@query(
+    "read_rules",  # S7
+    """WITH k AS (SELECT DISTINCT CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events)
+    SELECT k AS ord, 'k-' || k AS name, CASE k % 4 WHEN 0 THEN 'audit' WHEN 1 THEN 'require_approval'
+      WHEN 2 THEN 'deny' ELSE 'note' END AS action, 'tools/call' AS methods, '"k": ' || k || '\\b' AS patterns FROM k
+    UNION ALL SELECT max(k) + 1, 'deletes', 'require_approval', '', '' FROM k""",
+)
+def read_rules(spark, sf):
+    return _rules_from_file(spark, sf).select(
+        F.col("ord").cast("bigint").alias("ord"),
+        "name",
+        "action",
+        F.array_join("methods", ",").alias("methods"),
+        F.array_join("patterns", ",").alias("patterns"),
+    )
+
+
+def _rules_from_file(spark, sf) -> DataFrame:
+    path = work_dir(spark, "rules")
+    I.rule_table(spark, sf).write.json(path)
+    return capture.read_rules(spark, path)
+
+
 _TABLE_SQL = O.sql(
     r"""SELECT seq,
       nullif(concat_ws(',', CASE WHEN c THEN 'k-' || k END, CASE WHEN d THEN 'deletes' END), '') AS rules,
@@ -296,7 +343,7 @@ _TABLE_SQL = O.sql(
 
 @query("evaluate_policy_table", _TABLE_SQL)  # R6, J5
 def evaluate_policy_table(spark, sf):
-    return R.evaluate_policy_table(I.opened(spark, sf), I.rule_table(spark, sf)).select(
+    return R.evaluate_policy_table(I.opened(spark, sf), _rules_from_file(spark, sf)).select(
         "seq", F.array_join("matched_rules", ",").alias("rules"), "policy_action", "deny_rule", "approval_rule"
     )
 

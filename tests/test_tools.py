@@ -59,6 +59,16 @@ def test_pairing_matches_brute_force(spark, ttl, span):
     assert by_seq(J.match_events(df, timedelta(seconds=ttl)), "request_seq") == brute(rows, timedelta(seconds=ttl))
 
 
+def test_pairing_reads_its_events_once(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = P.open_messages(raw(spark, [(H2S, list_request()), (S2H, list_response(named("a")))]))
+        plan = J.correlate_lists(df)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ReusedExchange") == 2 and plan.count("parseJson") == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_extraction_and_registry(spark):
     odd = ['"s"', '{"name":5}', "null", '{"description":"no name"}', '{"name":"d","description":7}', '{"name":"n"}', "[1]"]
     rows = [
