@@ -61,16 +61,18 @@ def match_events(events: DataFrame, ttl: timedelta) -> DataFrame:
     last = F.struct("ts", "seq", "is_request")
     block = F.floor(F.col("slot") / F.lit(_SLOTS_PER_BLOCK)).cast("bigint")
 
-    slots = slotted.groupBy(*key, "slot").agg(F.max(last).alias("last")).withColumn("block", block)
-    blocks = slots.groupBy(*key, "block").agg(F.max("last").alias("last"))
-    carried_blocks = blocks.select(
-        *key, F.lit(None).cast("bigint").alias("slot"), "last", (F.col("block") + 1).alias("block")
+    # Every slot is seen from its own block and from the next one, so that the slot
+    # before it is always at hand.
+    slots = (
+        slotted.groupBy(*key, "slot")
+        .agg(F.max(last).alias("last"))
+        .withColumn("own", block)
+        .withColumn("block", F.explode(F.array(F.col("own"), F.col("own") + 1)))
     )
-    in_order = Window.partitionBy(*key, "block").orderBy(F.col("slot").asc_nulls_first())
+    in_order = Window.partitionBy(*key, "block").orderBy("slot")
     carried = (
-        slots.unionByName(carried_blocks)
-        .withColumn("carried", F.lag("last").over(in_order))
-        .where(F.col("slot").isNotNull() & F.col("carried.is_request"))
+        slots.withColumn("carried", F.lag("last").over(in_order))
+        .where((F.col("block") == F.col("own")) & F.col("carried.is_request"))
         .select(*key, "slot", "carried")
     )
     in_slot = Window.partitionBy(*key, "slot").orderBy("ts", "seq")

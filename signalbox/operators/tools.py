@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalbox import schemas as S
 from signalbox.functions import rpc
 from signalbox.operators.skew import salted_join
 from signalbox.session import prepare
