@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -40,11 +41,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder for state and staged tables, under the cluster's shared folder.
 
-    `spark.checkpoint.dir` names that folder. Only where it is unset, as in local
-    tests, a temporary folder of this machine is used.
+    `spark.checkpoint.dir` names that folder. Where it is unset, a temporary folder of this
+    machine is used if the master is local; on a cluster that is an error, as executors and
+    the driver would each see files of their own.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        token = spark.sql("SELECT uuid()").first()[0]
-        return f"{shared.rstrip('/')}/signalbox/{name}-{token}"
+        return f"{shared.rstrip('/')}/signalbox/{name}-{uuid.uuid4()}"
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return os.path.join(tempfile.mkdtemp(prefix="signalbox-"), name)
