@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import minhash
+from signalbox.llm import minhash, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,3 +30,8 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
 @query("op1_minhash")
 def op1_minhash(spark, sf):
     return minhash.near_duplicates(_read(spark, sf, "documents"), k=4)
+
+
+@query("op6_repeats")
+def op6_repeats(spark, sf):
+    return repeats.remove_repeats(_read(spark, sf, "documents"), with_text=False)
