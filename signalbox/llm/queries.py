@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import minhash, repeats
+from signalbox.llm import decontaminate, minhash, mixing, packing, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,3 +35,27 @@ def op1_minhash(spark, sf):
 @query("op6_repeats")
 def op6_repeats(spark, sf):
     return repeats.remove_repeats(_read(spark, sf, "documents"), with_text=False)
+
+
+@query("op5_mixing")
+def op5_mixing(spark, sf):
+    mixed = mixing.mix_sources(_read(spark, sf, "documents"), repetition=2.0)
+    return mixed.select(
+        "doc_id",
+        "source",
+        F.col("_epoch").alias("epoch"),
+        F.col("_block").alias("block"),
+        F.col("_tokens").alias("n_tokens"),
+        F.col("_weight").alias("weight"),
+        F.col("_order").alias("shuffle_key"),
+    )
+
+
+@query("op7_decontaminate")
+def op7_decontaminate(spark, sf):
+    return decontaminate.find_leaks(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
+
+
+@query("op9_packing")
+def op9_packing(spark, sf):
+    return packing.packed_rows(_read(spark, sf, "documents"))
