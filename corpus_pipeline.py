@@ -4,15 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalbox.llm import minhash
+from signalbox.llm import decontaminate, hostrules, minhash, mixing, packing
 from signalbox.llm.staging import staged
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules and whose host passes them too."""
+    return hostrules.accepted(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at a similarity of 0.8 or more."""
     return minhash.deduplicated(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of `benchmark`."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Smaller sources repeated, up to twice, towards equal weights; no document is left out."""
+    return mixing.mix_sources(docs, repetition=2.0).select(*docs.columns)
+
+
+def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of 2048 token ids."""
+    return packing.packed_rows(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("source_mixing", source_mixing),
+    ("token_packing", token_packing),
+]
+#: Signatures, permutations and token ids are not SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import decontaminate, minhash, mixing, packing, repeats
+from signalbox.llm import decontaminate, hostrules, minhash, mixing, packing, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -59,3 +59,8 @@ def op7_decontaminate(spark, sf):
 @query("op9_packing")
 def op9_packing(spark, sf):
     return packing.packed_rows(_read(spark, sf, "documents"))
+
+
+@query("op4_hostrules", hostrules.ORACLE)
+def op4_hostrules(spark, sf):
+    return hostrules.judged(_read(spark, sf, "documents"), carry=("doc_id",))
