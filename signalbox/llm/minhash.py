@@ -157,18 +157,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         .where("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
     )
     shared = buckets.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead != last")
-    stars = staged(
-        buckets.join(shared, "key").where("rep != lead").select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct(),
-        "candidates",
-    )
+    members = staged(buckets.join(shared.select("key", "lead"), "key").select("key", "rep", "lead"), "shared_buckets")
+    stars = staged(members.where("rep != lead").select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct(), "candidates")
     ends = stars.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    bodies = staged(docs.join(ends, "doc_id", "left_semi"), "bodies")
+    # The same way at every size: the texts meet their candidates by a shuffle.
+    bodies = staged(docs.join(ends.hint("merge"), "doc_id", "left_semi"), "bodies")
     links = staged(_checked(stars, bodies, k, percent).union(copies), "links")
     first = components(links)
 
-    labels = buckets.join(first, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    split = labels.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n"), F.min("rep").alias("lead"))
-    rest = staged(labels.join(split.where("low != high").select("key", "n", "lead"), "key"), "split_buckets")
+    labels = members.join(first, F.col("rep") == F.col("node"), "left").select("key", "rep", "lead", F.coalesce("component", "rep").alias("c"))
+    split = labels.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n"))
+    rest = staged(labels.join(split.where("low != high").select("key", "n"), "key"), "split_buckets")
     few = rest.where(F.col("n") < DENSE)
     pairs = few.join(few.select("key", F.col("rep").alias("v"), F.col("c").alias("d")), "key").where("c != d AND rep < v")
     pairs = staged(pairs.select(F.col("rep").alias("u"), "v").distinct().join(stars, ["u", "v"], "left_anti"), "split_pairs")
@@ -188,7 +187,7 @@ def _checked(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataF
     """The pairs (u, v) whose texts are similar enough."""
     left = bodies.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"))
     right = bodies.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
-    both = pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v")
+    both = pairs.hint("merge").join(left, "u").hint("merge").join(right, "v").select("u", "v", "text_u", "text_v")
     return both.mapInArrow(partial(_confirm, k=k, percent=percent), "u long, v long")
 
 
