@@ -87,10 +87,10 @@ def lowered(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text number of every run of bytes other than 0x20 and 0x09-0x0D."""
+def word_spans(buf: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of every run of bytes not marked in `between` (0x20 and 0x09-0x0D)."""
     space = np.ones(len(buf) + 2, bool)
-    space[1:-1] = _SPACE[buf]
+    space[1:-1] = between[buf]
     edge = np.zeros(len(buf) + 1, bool)
     edge[offsets] = True
     start = np.flatnonzero(~space[1:-1] & (space[:-2] | edge[:-1]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import decontaminate, hostrules, minhash, mixing, packing, repeats
+from signalbox.llm import decontaminate, hostrules, minhash, mixing, packing, repeats, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -64,3 +64,9 @@ def op9_packing(spark, sf):
 @query("op4_hostrules", hostrules.ORACLE)
 def op4_hostrules(spark, sf):
     return hostrules.judged(_read(spark, sf, "documents"), carry=("doc_id",))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark, sf):
+    scored = toxicity.toxicity(_read(spark, sf, "documents"), _read(spark, sf, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
