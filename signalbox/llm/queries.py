@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import decontaminate, hostrules, linecrf, minhash, mixing, packing, repeats, toxicity
+from signalbox.llm import decontaminate, disclosure, hostrules, linecrf, minhash, mixing, packing, repeats, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -76,3 +76,8 @@ def op2_toxicity(spark, sf):
 def op3_linecrf(spark, sf):
     scored = linecrf.quality(_read(spark, sf, "documents"), _read(spark, sf, "labels"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query("op10_disclosure")
+def op10_disclosure(spark, sf):
+    return disclosure.sanitised(_read(spark, sf, "documents"), with_text=False)
