@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import decontaminate, disclosure, hostrules, linecrf, minhash, mixing, packing, repeats, toxicity
+from signalbox.llm import decontaminate, disclosure, hostrules, linecrf, minhash, mixing, packing, quotes, repeats, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -81,3 +81,9 @@ def op3_linecrf(spark, sf):
 @query("op10_disclosure")
 def op10_disclosure(spark, sf):
     return disclosure.sanitised(_read(spark, sf, "documents"), with_text=False)
+
+
+@query("op8_quotes", quotes.ORACLE)
+def op8_quotes(spark, sf):
+    linked = quotes.link_quotes(_read(spark, sf, "conversations"))
+    return linked.withColumn("text_md5", F.md5("text")).drop("text")
