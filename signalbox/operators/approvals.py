@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from signalbox import schemas as S
 from signalbox.operators.messages import in_chain
-from signalbox.operators.numbering import numbered
+from signalbox.operators.numbering import null_safe_join, numbered
 from signalbox.operators.skew import salted_join
 
 DEFAULT_TIMEOUT = timedelta(seconds=60)
@@ -113,7 +113,7 @@ def apply_approvals(messages: DataFrame, resolved: DataFrame) -> DataFrame:
     )
     held = (
         messages.where(waits_for_review())
-        .join(outcome, ["session_id", "seq"], "left")
+        .transform(lambda held: null_safe_join(held, outcome, ["session_id", "seq"], "left"))
         .withColumns(
             {
                 "status": F.when(approved, S.FORWARDED).otherwise(S.BLOCKED),

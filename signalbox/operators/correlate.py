@@ -52,7 +52,7 @@ def match_events(events: DataFrame, ttl: timedelta) -> DataFrame:
     are not moved, and the two uses of the events share one shuffle.
     """
     key = ["session_id", "msg_id"]
-    slot_us = max(1, micros(ttl) // _SLOTS_PER_TTL)
+    slot_us = max(1, -(-micros(ttl) // _SLOTS_PER_TTL))  # up, so that a block is never shorter than the ttl
     slot = F.floor(F.unix_micros("ts") / F.lit(slot_us)).cast("bigint")
     # The join below implies these tests for one of its sides; stated for both,
     # they leave the two with the same shuffle, which then runs once.

@@ -6,13 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on `keys` in which NULL equals NULL; the keys come once, from the left."""
+    renamed = right.withColumnsRenamed({k: f"_{k}_right" for k in keys})
+    on = [left[k].eqNullSafe(renamed[f"_{k}_right"]) for k in keys]
+    return left.join(renamed, on, how).drop(*(f"_{k}_right" for k in keys))
+
+
 def numbered(df: DataFrame, out: str, ts: str, *ties: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Add `out` = 1, 2, ... in order of (`ts`, `ties`), over all rows or per `keys`.
 
     Rows are counted per second before any shuffle; the counts give every second
     its starting number, first day by day, then within the day. Only rows of one
     second are sorted together, so neither the whole table nor a hot key ends up
-    in one task. The only ungrouped window holds one row per calendar day.
+    in one task. The only ungrouped window holds one row per calendar day. Rows
+    without time, or with a NULL key, are numbered too; those without time first.
     """
     keys = list(keys)
     stamped = df.withColumns(
@@ -36,12 +44,12 @@ def numbered(df: DataFrame, out: str, ts: str, *ties: str, keys: tuple[str, ...]
             F.lit(0),
         ),
     )
-    bases = seconds.join(days, [*keys, "_day"]).select(
+    bases = null_safe_join(seconds, days, [*keys, "_day"]).select(
         *keys, "_sec", (F.col("_sec_base") + F.col("_day_base")).alias("_base")
     )
     within = F.row_number().over(Window.partitionBy(*keys, "_sec").orderBy(ts, *ties))
     return (
-        stamped.join(bases, [*keys, "_sec"])
+        null_safe_join(stamped, bases, [*keys, "_sec"])
         .withColumn(out, (F.col("_base") + within).cast("bigint"))
         .select(*df.columns, out)
     )

@@ -7,8 +7,10 @@ require_approval beats audit.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,21 +134,20 @@ def evaluate_policy(df: DataFrame, rules: list[Rule], payload: str = "payload")
     )
 
 
-# Up to this many rules get a column each; more are tested as elements of an array.
-COLUMN_RULES = 64
-# A rule table is configuration, but may be long: this much of it is read and
-# tested at a time.
+# A rule table is configuration, but may be long: so many rules are read and tested at a time.
 RULES_PER_PART = 1000
 
 
-def read_rule_part(rules_df: DataFrame, after: int | None, size: int) -> list[tuple[int, Rule]]:
-    """The next `size` rules in `ord` order as driver objects."""
-    if after is not None:
-        rules_df = rules_df.where(F.col("ord") > after)
-    rows = rules_df.orderBy("ord").limit(size).collect()
-    return [
-        (
-            r["ord"],
+def read_rule_parts(rules_df: DataFrame, size: int) -> Iterator[list[Rule]]:
+    """The rules in order, as driver objects, `size` at a time.
+
+    Rules with equal `ord` follow each other by name and then by their other parts,
+    so one table has one order, wherever a part ends. A NULL name reads as ''.
+    """
+    rest = F.to_json(F.struct("action", "methods", "tools", "direction", "patterns"))
+    rows = rules_df.withColumn("name", F.coalesce("name", F.lit(""))).orderBy("ord", "name", rest).toLocalIterator()
+    while part := list(islice(rows, size)):
+        yield [
             Rule(
                 r["name"],
                 r["action"] or "",
@@ -154,29 +155,21 @@ def read_rule_part(rules_df: DataFrame, after: int | None, size: int) -> list[tu
                 tuple(r["tools"] or ()),
                 r["direction"] or "",
                 tuple(r["patterns"] or ()),
-            ),
-        )
-        for r in rows
-    ]
+            )
+            for r in part
+        ]
 
 
 def evaluate_policy_table(
-    df: DataFrame,
-    rules_df: DataFrame,
-    payload: str = "payload",
-    column_rules: int = COLUMN_RULES,
-    part_rules: int = RULES_PER_PART,
+    df: DataFrame, rules_df: DataFrame, payload: str = "payload", part_rules: int = RULES_PER_PART
 ) -> DataFrame:
-    """`evaluate_policy` with the rules as a table (unique `ord`).
+    """`evaluate_policy` with the rules as a table, in order of `ord` (see `read_rule_parts`).
 
     The table is read in bounded parts when the plan is built, and every rule
     becomes a literal condition: patterns compile once per task, cheap tests stop
-    before them, and messages are neither multiplied nor shuffled however many
-    rules there are.
+    before them, and messages are neither multiplied nor shuffled. The size of a
+    part changes the plan, never the result.
     """
-    part = read_rule_part(rules_df, None, part_rules)
-    if len(part) <= column_rules and len(part) < part_rules:
-        return evaluate_policy(df, [rule for _, rule in part], payload)
     none = F.lit(None).cast("string")
     out = df.withColumns(
         {
@@ -186,10 +179,8 @@ def evaluate_policy_table(
             "_actions": F.array().cast("array<string>"),
         }
     )
-    while part:
-        out = _evaluate_part(out, [rule for _, rule in part], payload)
-        full = len(part) == part_rules
-        part = read_rule_part(rules_df, part[-1][0], part_rules) if full else []
+    for part in read_rule_parts(rules_df, part_rules):
+        out = _evaluate_part(out, part, payload)
     return out.withColumns(
         {
             "matched_rules": F.when(F.size("matched_rules") > 0, F.col("matched_rules")),

@@ -25,7 +25,12 @@ def query_messages(
     limit: int = 0,
     offset: int = 0,
 ) -> DataFrame:
-    """Newest messages first, by the filters that are set; 200 if no limit is given."""
+    """Newest messages first, by the filters that are set; 200 if no limit is given.
+
+    On a stored table `since` also skips the partitions of earlier days. Filters
+    reach the scan of a stored table; rows still to be parsed are best filtered
+    before `open_messages`.
+    """
     for name, value in (
         ("session_id", session_id),
         ("direction", direction),
@@ -35,16 +40,20 @@ def query_messages(
         if value:
             df = df.where(F.col(name) == value)
     if since is not None:
-        df = df.where(F.col("ts") >= F.lit(since).cast("timestamp"))
+        start = F.lit(since).cast("timestamp")
+        df = df.where(F.col("ts") >= start)
+        if "date" in df.columns:
+            df = df.where(F.col("date") >= F.to_date(start))
     df = df.orderBy(F.desc("id"))
     if offset > 0:
         df = df.offset(offset)
     return df.limit(limit if limit > 0 else DEFAULT_LIMIT)
 
 
-def find_message(df: DataFrame, message_id: int) -> DataFrame:
-    """The message as a DataFrame of at most one row."""
-    return df.where(F.col("id") == message_id)
+def find_message(df: DataFrame, message_id: int, day: str | None = None) -> DataFrame:
+    """The message as a DataFrame of at most one row; of a stored table only `day`, if given."""
+    found = df.where(F.col("id") == message_id)
+    return found.where(F.col("date") == F.lit(day).cast("date")) if day else found
 
 
 def get_message(df: DataFrame, message_id: int):

@@ -356,7 +356,7 @@ def evaluate_policy_table(spark, sf):
     f"WITH {O.scrubbed('documents', 'doc_id', 'text')} SELECT doc_id, md5(text) AS text_md5 FROM scrubbed",
 )
 def scrub_text(spark, sf):
-    docs = I.texts(spark, sf, "documents", "doc_id").select("doc_id", "text")
+    docs = T.table(spark, sf, "documents").select("doc_id", "text")
     return D.scrub_text(docs, "text").select("doc_id", F.md5("text").alias("text_md5"))
 
 
@@ -366,7 +366,7 @@ def scrub_text(spark, sf):
     f"SELECT page_id, {O.total()} AS scrub_count, md5(text) AS html_md5 FROM scrubbed",
 )
 def scrub_count(spark, sf):
-    pages = I.texts(spark, sf, "pages", "page_id").select("page_id", "html")
+    pages = T.table(spark, sf, "pages").select("page_id", "html")
     return D.scrub_text(pages, "html").select(
         "page_id", F.col("scrub_count").cast("bigint").alias("scrub_count"), F.md5("html").alias("html_md5")
     )
@@ -381,7 +381,7 @@ _WITH_TOKEN = (*O.PII, O.HEX_TOKEN)
     f"SELECT doc_id, {O.total(_WITH_TOKEN)} AS scrub_count, md5(text) AS text_md5 FROM scrubbed",
 )
 def custom_patterns(spark, sf):
-    docs = I.texts(spark, sf, "documents", "doc_id").select("doc_id", "text")
+    docs = T.table(spark, sf, "documents").select("doc_id", "text")
     return D.scrub_text(docs, "text", I.CUSTOM).select(
         "doc_id", F.col("scrub_count").cast("bigint").alias("scrub_count"), F.md5("text").alias("text_md5")
     )
@@ -397,7 +397,7 @@ _DOC_PAYLOAD = """md5('{"jsonrpc":"2.0","id":' || doc_id || ',"result":{"lang":'
     f"SELECT doc_id, {O.total(_WITH_TOKEN)} AS scrub_count, {_DOC_PAYLOAD} AS payload_md5 FROM scrubbed",
 )
 def scrub_json(spark, sf):
-    docs = T.document_messages(I.texts(spark, sf, "documents", "doc_id"))
+    docs = T.document_messages(T.table(spark, sf, "documents"))
     return D.scrub_json(docs, custom_patterns=I.CUSTOM).select(
         F.col("seq").alias("doc_id"),
         F.col("scrub_count").cast("bigint").alias("scrub_count"),
@@ -418,7 +418,7 @@ def scrub_json(spark, sf):
     FROM scrubbed""",
 )
 def scrub_messages(spark, sf):
-    opened = P.open_messages(T.chat(I.texts(spark, sf, "conversations", "conv_id")))
+    opened = P.open_messages(T.chat(T.table(spark, sf, "conversations")))
     return D.scrub_messages(opened).select(
         "session_id",
         "seq",
@@ -434,7 +434,7 @@ def scrub_messages(spark, sf):
     f"{O.label_rows('source AS session_id, ')}) GROUP BY session_id, label HAVING sum(n) > 0",
 )
 def pii_report(spark, sf):
-    docs = T.document_messages(I.texts(spark, sf, "documents", "doc_id"))
+    docs = T.document_messages(T.table(spark, sf, "documents"))
     return D.pii_report(D.scrub_messages(P.open_messages(docs), label_counts=True), "session_id")
 
 
@@ -995,19 +995,7 @@ def stream_correlation(spark, sf):
     return pairing.matches(spark).unionByName(pairing.pending(spark, last))
 
 
-# The last requests stay open until a later event passes their deadline; the
-# comparison ends two days before the events do.
-_REPORTED = "2024-01-28 00:00:00"
-
-
-@query(
-    "stream_approvals",  # T6
-    O.sql(
-        f"""SELECT id, session_id, seq, ts, decision, decided_at FROM resolved
-    WHERE ts < TIMESTAMP '{_REPORTED}'""",
-        "resolved",
-    ),
-)
+@query("stream_approvals", O.sql("SELECT id, session_id, seq, ts, decision, decided_at FROM resolved", "resolved"))  # T6
 def stream_approvals(spark, sf):
     root = work_dir(spark, "stream_approvals")
     policy_rows = R.enforce_policy(P.open_messages(T.traffic(_event_stream(spark, sf))), I.RULES)
@@ -1015,11 +1003,10 @@ def stream_approvals(spark, sf):
     resolved = L.resolve_stream(requests, T.decisions(_event_stream(spark, sf)), I.REVIEW_TIMEOUT)
     writer = resolved.writeStream.format("parquet").option("path", f"{root}/resolved")
     _finish(L.start(writer, f"{root}/checkpoint", once=True))
-    return (
-        spark.read.parquet(f"{root}/resolved")
-        .where(F.col("ts") < F.lit(_REPORTED).cast("timestamp"))
-        .select("id", "session_id", "seq", "ts", "decision", "decided_at")
-    )
+    written = spark.read.schema(resolved.schema).parquet(f"{root}/resolved")
+    rest = L.open_at_end(I.requests(spark, sf), I.decisions(spark, sf), written, I.REVIEW_TIMEOUT)
+    columns = ["id", "session_id", "seq", "ts", "decision", "decided_at"]
+    return written.select(*columns).unionByName(rest.select(*columns))
 
 
 @query("stream_registry", O.sql("SELECT * FROM seen", "seen"))  # T7

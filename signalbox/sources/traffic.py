@@ -24,16 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return typed_events(df) if name == "events" else df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Cut up an input of fewer splits than there are cores, for work that is heavy per row.
-
-    A small file is often one row group and would keep a single core busy. Inputs
-    with splits enough, so all large ones, are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def typed_events(events: DataFrame) -> DataFrame:
     """Events with the number `k` of their props and a session-zone timestamp."""
     return events.withColumns(

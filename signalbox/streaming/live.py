@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from signalbox import schemas as S
-from signalbox.operators.approvals import DEFAULT_TIMEOUT, effective_timeout
+from signalbox.operators.approvals import DEFAULT_TIMEOUT, effective_timeout, resolve_approvals
 from signalbox.operators.correlate import DEFAULT_TTL, match_events, micros
 from signalbox.operators.messages import to_log_rows
 from signalbox.operators.policy import Policy
@@ -239,6 +239,18 @@ def resolve_stream(
     )
 
 
+def open_at_end(
+    requests: DataFrame, decisions: DataFrame, written: DataFrame, timeout: timedelta = DEFAULT_TIMEOUT
+) -> DataFrame:
+    """What `resolve_stream` has not written when a stream ends, resolved from the stored tables.
+
+    A request stays in state until a later event passes its deadline, which at the
+    end of the input never comes.
+    """
+    rest = requests.join(written.select("id").distinct(), "id", "left_anti")
+    return resolve_approvals(rest, decisions, timeout)
+
+
 def register_stream(tools: DataFrame) -> DataFrame:
     """The running tool registry of `extract_tools` rows, for update or complete output.
 

@@ -1,6 +1,8 @@
 import random
 from datetime import timedelta
 
+from pyspark.sql import functions as F
+
 from signalbox import schemas as S
 from signalbox.operators import approvals as A
 from signalbox.operators import messages as P
@@ -93,3 +95,16 @@ def test_ids_in_submit_order(spark):
     assert [ids[i] for i in range(6)] == [f"apr-{i + 1}" for i in range(6)]
     ids = by_seq(A.approval_requests(messages, ids="session"), "id")
     assert [ids[i] for i in range(6)] == ["apr-1", "apr-2", "apr-3"] * 2
+
+
+def test_rows_without_time_or_session(spark):
+    rows = [(1, None, "a"), (2, at(1), None), (3, at(0), "a"), (4, None, None)]
+    df = spark.createDataFrame(rows, "seq bigint, ts timestamp, session_id string")
+    assert by_seq(numbered(df, "n", "ts", "seq"), "n") == {1: 1, 4: 2, 3: 3, 2: 4}
+    assert set(by_seq(numbered(df, "n", "ts", "seq", keys=("session_id",)), "n")) == {1, 2, 3, 4}
+    messages = held(spark).withColumn("session_id", F.lit(None).cast("string"))
+    requests = A.approval_requests(messages, ids="global")
+    made = requests.select(F.col("id").alias("approval_id"), F.col("ts").alias("decided_at"), F.lit(True).alias("approved"), F.col("seq").alias("decision_seq"))
+    out = A.apply_approvals(messages, A.resolve_approvals(requests, made))
+    held_back = out.where((F.col("policy_action") == "require_approval") & (F.col("status") == S.BLOCKED))
+    assert held_back.count() == 0

@@ -10,10 +10,10 @@ from signalbox.operators.policy import Rule
 from tests.helpers import H2S, S2H, by_seq, call, raw
 
 EXAMPLE = [
-    Rule("protect-env-files", "deny", ("tools/call",), ("write_file", "filesystem_write"), patterns=(r"\.env",)),
-    Rule("block-shell-execution", "deny", ("tools/call",), ("execute_command", "run_shell")),
-    Rule("approve-deletions", "require_approval", ("tools/call",), ("delete_file", "remove_directory")),
-    Rule("audit-all-tools", "audit", ("tools/call",)),
+    Rule("keep-keys-private", "deny", ("tools/call",), ("save_note", "put_object"), patterns=(r"\.pem",)),
+    Rule("no-terminals", "deny", ("tools/call",), ("open_terminal", "start_job")),
+    Rule("ask-before-erasing", "require_approval", ("tools/call",), ("erase_note", "empty_bin")),
+    Rule("watch-calls", "audit", ("tools/call",)),
 ]
 
 
@@ -24,18 +24,18 @@ def evaluated(spark, rules, rows, **kw):
 
 def test_example_rules(spark):
     rows = [
-        (H2S, call("write_file", args='{"path":"/app/.env"}')),
-        (H2S, call("write_file", args='{"path":"/app/main"}')),
-        (H2S, call("execute_command")),
-        (H2S, call("delete_file")),
+        (H2S, call("save_note", args='{"path":"/home/k.pem"}')),
+        (H2S, call("save_note", args='{"path":"/home/main"}')),
+        (H2S, call("open_terminal")),
+        (H2S, call("erase_note")),
         (H2S, '{"id":1,"method":"tools/list"}'),
-        (H2S, "not valid json tools/call"),
+        (H2S, "no message tools/call"),
     ]
     got = evaluated(spark, EXAMPLE, rows)
-    assert got[0] == ("deny", ["protect-env-files", "audit-all-tools"], "protect-env-files", None)
-    assert got[1] == ("audit", ["audit-all-tools"], None, None)
-    assert got[2] == ("deny", ["block-shell-execution", "audit-all-tools"], "block-shell-execution", None)
-    assert got[3] == ("require_approval", ["approve-deletions", "audit-all-tools"], None, "approve-deletions")
+    assert got[0] == ("deny", ["keep-keys-private", "watch-calls"], "keep-keys-private", None)
+    assert got[1] == ("audit", ["watch-calls"], None, None)
+    assert got[2] == ("deny", ["no-terminals", "watch-calls"], "no-terminals", None)
+    assert got[3] == ("require_approval", ["ask-before-erasing", "watch-calls"], None, "ask-before-erasing")
     assert got[4] == (None, None, None, None)
     assert got[5] == (None, None, None, None)
 
@@ -66,10 +66,20 @@ def test_precedence_in_both_forms(spark, i):
         [(o, r.name, r.action, [], None, None, []) for o, r in enumerate(rules)], S.RULES
     )
     df = P.open_messages(raw(spark, [(H2S, call("t"))]))
-    for limits in ({}, {"column_rules": 0, "part_rules": 2}, {"column_rules": 0, "part_rules": 50}):
-        out = R.evaluate_policy_table(df, table, **limits)
+    for size in (1, 2, 1000):
+        out = R.evaluate_policy_table(df, table, part_rules=size)
         got = by_seq(out, "policy_action", "matched_rules", "deny_rule", "approval_rule")
-        assert got[0] == EXPECTED[i], limits
+        assert got[0] == EXPECTED[i], size
+
+
+def test_one_rule_table_one_answer(spark):
+    """Equal `ord` and a NULL name give the same result wherever a part ends."""
+    rows = [(1, "c", "audit"), (2, "e", "deny"), (2, "d", "audit"), (2, None, "deny"), (3, "z", "require_approval")]
+    table = spark.createDataFrame([(o, n, a, [], None, None, []) for o, n, a in rows], S.RULES).repartition(3)
+    df = P.open_messages(raw(spark, [(H2S, call("t"))]))
+    for size in (1, 2, 3, 5, 1000):
+        got = by_seq(R.evaluate_policy_table(df, table, part_rules=size), "policy_action", "matched_rules", "deny_rule", "approval_rule")
+        assert got[0] == ("deny", ["c", "", "d", "e", "z"], "", None), size
 
 
 def test_direction_method_and_tool(spark):
@@ -92,21 +102,21 @@ def test_direction_method_and_tool(spark):
 
 
 def test_enforcement_and_replies(spark):
-    rows = [(H2S, call("execute_command", id_='"a1"')), (H2S, call("delete_file")), (H2S, call("read_file")),
-            (H2S, '{"method":"tools/call","params":{"name":"run_shell"}}'), (H2S, "garbage")]
+    rows = [(H2S, call("open_terminal", id_='"a1"')), (H2S, call("erase_note")), (H2S, call("read_file")),
+            (H2S, '{"method":"tools/call","params":{"name":"start_job"}}'), (H2S, "garbage")]
     df = R.enforce_policy(P.open_messages(raw(spark, rows)), EXAMPLE)
     got = by_seq(df, "status", "audit", "policy_rule", "block_reason")
-    assert got[0] == ("blocked", False, "block-shell-execution", 'blocked by policy rule "block-shell-execution"')
-    assert got[1] == ("forwarded", False, "approve-deletions", None)
+    assert got[0] == ("blocked", False, "no-terminals", 'blocked by policy rule "no-terminals"')
+    assert got[1] == ("forwarded", False, "ask-before-erasing", None)
     assert got[2] == ("forwarded", True, None, None)
     assert got[3][0] == "blocked"
     assert got[4] == ("forwarded", False, None, None)
     replies = C.block_responses(df).collect()  # none for the notification
     assert [(r.direction, r.payload) for r in replies] == [
-        (S2H, '{"jsonrpc":"2.0","id":"a1","error":{"code":-32600,"message":"blocked by policy rule \\"block-shell-execution\\""}}')
+        (S2H, '{"jsonrpc":"2.0","id":"a1","error":{"code":-32600,"message":"blocked by policy rule \\"no-terminals\\""}}')
     ]
     hits = {(r.rule_name, r.policy_action): r.hits for r in R.rule_hit_counts(df).collect()}
-    assert hits[("audit-all-tools", "deny")] == 2 and hits[("audit-all-tools", "audit")] == 1
+    assert hits[("watch-calls", "deny")] == 2 and hits[("watch-calls", "audit")] == 1
 
 
 def test_stages_stop_at_first_block_or_drop(spark):

@@ -60,12 +60,20 @@ def test_message_table_round_trip(spark, tmp_path):
     old = rows.limit(1).select("id", "ts", "session_id", "direction", "kind", "method", "msg_id", "payload", "size_bytes")
     old.withColumn("date", F.to_date("ts")).write.mode("append").partitionBy("date").parquet(path)  # an older layout
     back = tables.read_messages(spark, path)
-    assert back.schema.simpleString() == S.MESSAGES.simpleString()
+    assert back.drop("date").schema.simpleString() == S.MESSAGES.simpleString()
     got = sorted(back.collect(), key=lambda r: (r.id, r.matched_rules is None))
     assert [r.id for r in got] == [0, 0, 1]
     assert got[0].matched_rules == ["r1", 'r"2'] and got[0].tool_name == "a"
     assert got[1].blocked is False and got[1].scrub_count == 0 and got[1].matched_rules is None
     assert back.where(F.to_date("ts") == "2024-05-02").count() == 1
+    recent = Q.query_messages(back, since="2024-05-02 00:00:00")
+    assert [r.id for r in recent.collect()] == [1]
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan
+    assert [r.id for r in Q.find_message(back, 1, day="2024-05-02").collect()] == [1]
+    compact = str(tmp_path / "compact")
+    tables.compact_messages(spark, path, compact, ["2024-05-01"])
+    assert sorted(r.id for r in tables.read_messages(spark, compact).collect()) == [0, 0]
 
 
 def test_capture_and_rules(spark, tmp_path):
@@ -85,13 +93,24 @@ def test_capture_and_rules(spark, tmp_path):
     rules = tmp_path / "rules.json"
     rules.write_text('{"ord":1,"name":"b","action":"deny","tools":["x"]}\n{"ord":0,"name":"a","action":"audit"}\n')
     table = capture.read_rules(spark, str(rules))
-    from signalbox.operators.policy import Rule, read_rule_part
+    from signalbox.operators.policy import Rule, read_rule_parts
 
-    assert read_rule_part(table, None, 5) == [(0, Rule("a", "audit")), (1, Rule("b", "deny", tools=("x",)))]
+    assert list(read_rule_parts(table, 5)) == [[Rule("a", "audit"), Rule("b", "deny", tools=("x",))]]
     (tmp_path / "pat.json").write_text('{"ord":0,"name":"n","pattern":"t_[0-9]+","label":"l"}\n')
     assert capture.read_custom_patterns(spark, str(tmp_path / "pat.json"))[0].pattern == "t_[0-9]+"
 
 
+def test_merges(spark):
+    stored = spark.createDataFrame([("s1", at(5), None, "srv", ["-a"]), ("s3", at(1), at(2), "y", [])], S.SESSIONS)
+    events = spark.createDataFrame([("s1", at(7), None, "later", ["-b"]), ("s1", None, at(9), None, None), ("s2", at(3), None, "x", [])], S.SESSIONS)
+    got = {r.id: tuple(r) for r in tables.merge_sessions(stored, events).collect()}
+    assert got["s1"] == ("s1", at(5), at(9), "srv", ["-a"]) and got["s3"][2] == at(2) and set(got) == {"s1", "s2", "s3"}
+    old = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "k string, o int, v string")
+    new = spark.createDataFrame([("a", 0, "n"), ("a", 3, "z"), ("c", 1, "w"), ("c", 2, "u")], "k string, o int, v string")
+    assert {tuple(r) for r in tables.merge_latest(old, new, ["k"], ["o"]).collect()} == {("a", 3, "z"), ("b", 2, "y"), ("c", 2, "u")}
+    assert {tuple(r) for r in tables.merge_first(old, new, ["k"], ["o"]).collect()} == {("a", 1, "x"), ("b", 2, "y"), ("c", 1, "w")}
+
+
 def test_sessions_and_upserts(spark):
     rows = [("s1", at(0), None, "srv", ["-a"]), ("s1", None, at(9), None, None), ("s2", at(1), None, "x", [])]
     df = spark.createDataFrame(rows, S.SESSIONS)

