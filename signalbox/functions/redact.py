@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalbox.functions.plan import once
-from signalbox.functions.regex import PatternError, checked, is_context_free
+from signalbox.functions.regex import PatternError, checked, is_context_free, needs_linear_matcher
 
 log = logging.getLogger(__name__)
 
@@ -64,7 +64,7 @@ DEFAULT_PATTERNS = tuple(
 
 
 def build_patterns(spark: SparkSession, custom=()) -> tuple[Pattern, ...]:
-    """Defaults followed by custom patterns; an invalid custom pattern is skipped."""
+    """Defaults followed by custom patterns; an invalid one is skipped, one that may not end in time an error."""
     out = list(DEFAULT_PATTERNS)
     for c in custom:
         try:
@@ -72,6 +72,9 @@ def build_patterns(spark: SparkSession, custom=()) -> tuple[Pattern, ...]:
         except PatternError as exc:
             log.warning("custom pattern %r skipped: %s", c.name, exc)
             continue
+        if needs_linear_matcher(c.pattern):
+            # Skipping it would leak what it is meant to hide.
+            raise PatternError(f"custom pattern {c.name!r}: {c.pattern!r} repeats in a way that may not end in time")
         own = spark._jvm.java.util.regex.Pattern.compile(java).matcher(mark(c.label)).find()
         raw = java if is_context_free(c.pattern) else None
         out.append(Pattern(c.label, java, raw=raw, finds_own_mark=own))

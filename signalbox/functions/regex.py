@@ -11,7 +11,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import SparkSession
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 WORD = "[A-Za-z0-9_]"
 _BOUNDARY = f"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
@@ -163,6 +167,66 @@ def checked(spark: SparkSession, patterns: Iterable[str]) -> list[str]:
     return out
 
 
+_BROAD = re.compile(r"\.|\[\^|\\[SDW]")
+_MOST_COPIES = 64
+
+
+def _times(repeat: str) -> tuple[int, float]:
+    head = repeat.rstrip("?") if len(repeat) > 1 else repeat
+    if head in "*+?":
+        return {"*": (0, float("inf")), "+": (1, float("inf")), "?": (0, 1)}[head]
+    low, comma, high = head.strip("{}").partition(",")
+    return int(low), int(high) if high else (float("inf") if comma else int(low))
+
+
+def needs_linear_matcher(pattern: str) -> bool:
+    """True if a backtracking matcher can overflow its stack or take time out of proportion.
+
+    That is a group repeated without limit, many times, or with a body that can be
+    empty or is itself unlimited; and two unlimited repeats of nearly any character.
+    """
+    frames = [{"unlimited": False, "can_be_empty": False, "needed": False}]
+    last, broad = None, 0
+    for tok in _TOKEN.finditer(pattern):
+        text, kind = tok.group(0), tok.lastgroup
+        if kind == "repeat" and last is not None:
+            low, high = _times(text)
+            unlimited = high == float("inf")
+            if last["group"] and (unlimited or (high > 1 and (last["unlimited"] or last["empty"] or high > _MOST_COPIES))):
+                return True
+            frames[-1]["unlimited"] |= unlimited
+            broad += unlimited and bool(_BROAD.match(last["text"]))
+            if broad > 1:
+                return True
+            last["empty"] |= low == 0
+            continue
+        if last is not None:
+            frames[-1]["needed"] |= not last["empty"]
+            frames[-1]["unlimited"] |= last["unlimited"]
+            last = None
+        if (kind == "group" and not text.endswith(")")) or (kind == "char" and text == "("):
+            frames.append({"unlimited": False, "can_be_empty": False, "needed": False})
+        elif kind == "char" and text == "|":
+            frames[-1]["can_be_empty"] |= not frames[-1]["needed"]
+            frames[-1]["needed"] = False
+        elif kind == "char" and text == ")" and len(frames) > 1:
+            done = frames.pop()
+            last = {"group": True, "unlimited": done["unlimited"], "empty": done["can_be_empty"] or not done["needed"], "text": text}
+        elif kind != "group" and text not in ("^", "$") and text not in (r"\b", r"\B", r"\A", r"\z"):
+            last = {"group": False, "unlimited": False, "empty": False, "text": text}
+    return False
+
+
+def linear_match(pattern: str, text: Column) -> Column:
+    """`text` contains `pattern`, found in linear time: whole Arrow batches by the dialect's own matcher."""
+
+    @F.pandas_udf("boolean")
+    def found(values: pd.Series) -> pd.Series:
+        return pc.match_substring_regex(pa.array(values, pa.large_string()), pattern).to_pandas()
+
+    return found(text)
+
+
 def is_context_free(pattern: str) -> bool:
     """True if a match does not depend on the text around it (no anchor, no boundary)."""
     plain = re.sub(r"\\[^bBAz]", "", pattern)

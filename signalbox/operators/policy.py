@@ -8,7 +8,7 @@ require_approval beats audit.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from itertools import islice
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from signalbox import schemas as S
 from signalbox.functions.plan import once
-from signalbox.functions.regex import PatternError, checked
+from signalbox.functions.regex import PatternError, checked, linear_match, needs_linear_matcher
 from signalbox.operators.messages import in_chain
 
 
@@ -67,8 +67,11 @@ def _one_of(column: str, values: tuple[str, ...]) -> str:
     return f"{column} IN ({', '.join(map(_quote, values))})"
 
 
-def rule_sql(rule: Rule, payload: str = "payload") -> str:
-    """The rule as SQL text. Cheap tests come first, patterns last."""
+def rule_sql(rule: Rule, payload: str = "payload", linear: dict[str, str] | None = None) -> str:
+    """The rule as SQL text. Cheap tests come first, patterns last.
+
+    `linear` names the boolean columns that stand for patterns matched elsewhere.
+    """
     tests = []
     if rule.direction:
         tests.append(f"direction = {_quote(rule.direction)}")
@@ -76,13 +79,41 @@ def rule_sql(rule: Rule, payload: str = "payload") -> str:
         tests.append(_one_of("coalesce(method, '')", rule.methods))
     if rule.tools:
         tests.append(_one_of("nullif(tool_name, '')", rule.tools))
-    tests.extend(f"`{payload}` RLIKE {_quote(p)}" for p in java_patterns(rule))
+    for pattern, java in zip(rule.patterns, java_patterns(rule)):
+        own = (linear or {}).get(pattern)
+        tests.append(f"`{own}`" if own else f"`{payload}` RLIKE {_quote(java)}")
     return f"coalesce({' AND '.join(tests)}, false)" if tests else "true"
 
 
 def rule_condition(rule: Rule, payload: str = "payload") -> Column:
     """The rule as a boolean column. From SQL text, as rule lists may be long."""
-    return F.expr(rule_sql(rule, payload))
+    java_patterns(rule)
+    slow = [p for p in rule.patterns if needs_linear_matcher(p)]
+    fast = replace(rule, patterns=tuple(p for p in rule.patterns if p not in slow))
+    condition = F.expr(rule_sql(fast, payload))
+    if not slow:
+        return condition
+    return F.coalesce(reduce(lambda a, p: a & linear_match(p, F.col(payload)), slow, condition), F.lit(False))
+
+
+def _with_linear(df: DataFrame, rules: list[Rule], payload: str) -> tuple[DataFrame, list[dict[str, str]]]:
+    """Columns for the patterns that need a linear-time matcher, and by rule which stands for which.
+
+    Only payloads that pass the rule's cheap tests are handed over.
+    """
+    columns, by_rule = {}, []
+    for i, rule in enumerate(rules):
+        java_patterns(rule)  # a bad pattern stops here
+        names = {}
+        cheap = None
+        for j, pattern in enumerate(dict.fromkeys(rule.patterns)):
+            if needs_linear_matcher(pattern):
+                if cheap is None:
+                    cheap = _active(df) & F.expr(rule_sql(replace(rule, patterns=())))
+                names[pattern] = f"_linear{i}_{j}"
+                columns[names[pattern]] = linear_match(pattern, F.when(cheap, F.col(payload)))
+        by_rule.append(names)
+    return (df.withColumns(columns) if columns else df), by_rule
 
 
 def _active(df: DataFrame) -> Column:
@@ -96,9 +127,11 @@ def evaluate_policy(df: DataFrame, rules: list[Rule], payload: str = "payload")
     approval before any deny; it stays set if a deny follows. An action that is
     none of the three adds its name but decides nothing.
     """
+    df, linear = _with_linear(df, rules, payload)
+    drop = [name for names in linear for name in names.values()]
     active = _active(df)
     hits = {
-        f"_hit{i}": once(F.when(active, rule_condition(rule, payload)).otherwise(False))
+        f"_hit{i}": once(F.when(active, F.expr(rule_sql(rule, payload, linear[i]))).otherwise(False))
         for i, rule in enumerate(rules)
     }
     names = [F.when(F.col(f"_hit{i}"), F.lit(rule.name)) for i, rule in enumerate(rules)]
@@ -130,7 +163,7 @@ def evaluate_policy(df: DataFrame, rules: list[Rule], payload: str = "payload")
                 .when(any_of(of(S.AUDIT)), S.AUDIT),
             }
         )
-        .drop(*hits)
+        .drop(*hits, *drop)
     )
 
 
@@ -195,7 +228,9 @@ def _evaluate_part(df: DataFrame, rules: list[Rule], payload: str) -> DataFrame:
     """Add what these rules decide to what the rules before them decided."""
     names = F.lit([r.name for r in rules])
     actions = F.lit([r.action for r in rules])
-    cases = (f"CASE WHEN {rule_sql(r, payload)} THEN {i} END" for i, r in enumerate(rules))
+    df, linear = _with_linear(df, rules, payload)
+    drop = [name for own in linear for name in own.values()]
+    cases = (f"CASE WHEN {rule_sql(r, payload, linear[i])} THEN {i} END" for i, r in enumerate(rules))
     hits = F.expr(f"array({', '.join(cases)})")
 
     def having(action: str) -> Column:
@@ -224,7 +259,7 @@ def _evaluate_part(df: DataFrame, rules: list[Rule], payload: str) -> DataFrame:
                 ),
             }
         )
-        .drop("_matched", "_deny")
+        .drop("_matched", "_deny", *drop)
     )
 
 

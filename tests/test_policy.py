@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signalbox import schemas as S
-from signalbox.functions.regex import PatternError, to_java
+from signalbox.functions.regex import PatternError, needs_linear_matcher, to_java
 from signalbox.operators import chain as C
 from signalbox.operators import messages as P
 from signalbox.operators import policy as R
@@ -137,6 +137,28 @@ def test_stages_stop_at_first_block_or_drop(spark):
     assert sum(df.count() for df in parts.values()) == len(rows)
 
 
+SLOW = [r"(?:[a-z]|[0-9])*Z", r"(.|\n)*Z", r"(.*?,){12}P", r"a.*b.*c", r"(a?){30}a{30}", r"(?:x|yy)+"]
+QUICK = [r"(?:\d{4}[- ]?){3}\d{4}", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", r'"k": \d*5\b', r"(abc)?d", r"a.*b", r"[^,]*,", r"(a|b)c", r"x(?i)y"]
+
+
+def test_which_patterns_need_a_linear_matcher():
+    assert [p for p in SLOW if not needs_linear_matcher(p)] == []
+    assert [p for p in QUICK if needs_linear_matcher(p)] == []
+
+
+def test_hard_patterns_on_long_payloads_end(spark):
+    long = call("t", args='"' + "ab1,\\n" * 200_000 + '"')
+    rules = [Rule(p, "audit", ("tools/call",), patterns=(p,)) for p in SLOW[:3]] + [Rule("two", "deny", patterns=(SLOW[0], "tools"))]
+    rows = [(H2S, long), (H2S, call("Z")), (S2H, '{"id":1,"result":"Z"}'), (H2S, call("x,,,,,,,,,,,,P"))]
+    want = [(None, None), ("deny", [SLOW[0], SLOW[1], "two"]), (None, None), ("audit", [SLOW[2]])]
+    df = P.open_messages(raw(spark, rows))
+    table = spark.createDataFrame([(i, r.name, r.action, list(r.methods), [], "", list(r.patterns)) for i, r in enumerate(rules)], S.RULES)
+    for out in (R.evaluate_policy(df, rules), R.evaluate_policy_table(df, table)):
+        got = by_seq(out, "policy_action", "matched_rules")
+        assert [got[i] for i in range(4)] == want
+    assert [r[0] for r in df.orderBy("seq").select(R.rule_condition(rules[3])).collect()] == [False, True, False, False]
+
+
 def test_bad_patterns_fail_before_the_job(spark):
     df = P.open_messages(raw(spark, [(H2S, call("a"))]))
     for bad in ("[invalid", "(?=x)", r"(a)\1", "a++", "(?<!x)y", "*a", "(?>a)"):
