@@ -230,7 +230,7 @@ _LOG_SQL = """SELECT id, ts, session_id, direction, kind, method, msg_id, payloa
 def _log_columns(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {"rules": F.array_join("matched_rules", ","), "scrub_count": F.col("scrub_count").cast("bigint")}
-    ).drop("matched_rules", "tools_pruned")
+    ).drop("matched_rules", "tools_pruned", "date")
 
 
 @query("to_log_rows", O.sql(_LOG_SQL, "logged"))  # P6
@@ -348,6 +348,49 @@ def evaluate_policy_table(spark, sf):
     )
 
 
+@query(
+    "deep_messages",  # P1, R3: nesting beyond what a plain parser takes
+    O.sql(
+        """SELECT seq, tool_name, CASE WHEN tool_name = 'delete_file' THEN 'blocked' ELSE 'forwarded' END AS status,
+      CASE WHEN tool_name = 'delete_file' THEN 'blocked by policy rule "no-deletes"' END AS block_reason
+    FROM traffic WHERE event_type = 'purchase'""",
+        "traffic",
+    ),
+)
+def deep_messages(spark, sf):
+    """Calls with arguments 990 to 1,009, or 5,000, levels deep."""
+    calls = I.events(spark, sf).where("event_type = 'purchase'")
+    levels = F.when(F.col("k") % 50 == 0, 5000).otherwise((990 + F.col("k") % 20).cast("int"))
+    deep = F.concat(F.repeat(F.lit("["), levels), F.repeat(F.lit("]"), levels), F.lit("}}"))
+    raw = T.traffic(calls.withColumn("levels", levels)).join(calls.select(F.col("event_id").alias("seq"), deep.alias("deep")), "seq")
+    head = F.regexp_extract("payload", '^.*"arguments":', 0)
+    raw = raw.withColumn("payload", F.concat(head, "deep")).drop("deep")
+    rules = [R.Rule("no-deletes", S.DENY, ("tools/call",), ("delete_file",))]
+    return R.enforce_policy(P.open_messages(raw), rules).select("seq", "tool_name", "status", "block_reason")
+
+
+_HARD = (r'(?:"k"|"q"|x)+: (?:[0-9]|y)*5\b', r"(.|\n)*delete_file", r'(.*?,){2}"params')
+
+
+@query(
+    "evaluate_policy_linear",  # R1: patterns a backtracking matcher cannot be trusted with
+    O.sql(
+        f"""SELECT seq, nullif(concat_ws(',', CASE WHEN regexp_matches(payload, '{_HARD[0]}') THEN 'fives' END,
+      CASE WHEN method = 'tools/call' AND regexp_matches(payload, '{_HARD[1]}') THEN 'deletes' END,
+      CASE WHEN regexp_matches(payload, '{_HARD[2]}') THEN 'late' END), '') AS rules FROM traffic""",
+        "traffic",
+    ),
+)
+def evaluate_policy_linear(spark, sf):
+    rules = [
+        R.Rule("fives", S.AUDIT, patterns=(_HARD[0],)),
+        R.Rule("deletes", S.DENY, ("tools/call",), patterns=(_HARD[1],)),
+        R.Rule("late", S.AUDIT, patterns=(_HARD[2],)),
+    ]
+    found = R.evaluate_policy(I.opened(spark, sf), rules)
+    return found.select("seq", F.array_join("matched_rules", ",").alias("rules"))
+
+
 # --- redaction ---------------------------------------------------------------------------
 
 
@@ -911,6 +954,101 @@ def governed_messages(spark, sf):
     )
 
 
+# --- the written tables, read again ---------------------------------------------------------
+
+
+def _stored(spark, sf, name: str) -> DataFrame:
+    path = work_dir(spark, name)
+    tables.write_messages(I.logged(spark, sf), path)
+    return tables.read_messages(spark, path)
+
+
+@query(
+    "stored_query_messages",  # Q1 on S2
+    O.sql(
+        _LOG_SQL + " WHERE kind = 'request' AND ts >= TIMESTAMP '2024-01-20 06:00:00' ORDER BY id DESC LIMIT 500", "logged"
+    ),
+)
+def stored_query_messages(spark, sf):
+    stored = _stored(spark, sf, "stored_query")
+    return _log_columns(Q.query_messages(stored, kind="request", since="2024-01-20 06:00:00", limit=500))
+
+
+@query(
+    "stored_stats",  # Q8 on S2
+    O.sql(f"SELECT session_id, {_TOTALS}, {_KINDS} FROM logged GROUP BY session_id", "logged"),
+)
+def stored_stats(spark, sf):
+    return Q.stats_by_session(_stored(spark, sf, "stored_stats"))
+
+
+_HALF = "2024-01-15 12:00:00"
+
+
+@query("merge_sessions", ORACLE["sessions_from_events"])  # S3 into a stored table
+def merge_sessions(spark, sf):
+    marks = T.session_marks(I.events(spark, sf))
+    first = F.col("started_at") < F.lit(_HALF).cast("timestamp")
+    stored = tables.staged(tables.sessions_from_events(marks.where(first)), work_dir(spark, "sessions"))
+    return tables.merge_sessions(stored, marks.where(~first)).withColumn("args", F.array_join("args", ","))
+
+
+@query("merge_registry", O.sql("SELECT * FROM seen", "seen"))  # S5 into a stored table
+def merge_registry(spark, sf):
+    seen = T.sightings(I.events(spark, sf))
+    first = F.col("ts") < F.lit(_HALF).cast("timestamp")
+    stored = tables.staged(tables.register_tools(seen.where(first)), work_dir(spark, "registry"))
+    new = tables.register_tools(seen.where(~first))
+    return tables.merge_first(stored, new, ["session_id", "tool_name"], ["first_seen"])
+
+
+@query(
+    "merge_approvals",  # S4 into a stored table
+    O.sql("SELECT id, session_id, decision, decided_at FROM resolved", "resolved"),
+)
+def merge_approvals(spark, sf):
+    requests = I.requests(spark, sf)
+    columns = ["id", "session_id", "decision", "decided_at"]
+    stored = tables.staged(requests.select(*columns), work_dir(spark, "approvals"))
+    resolved = A.resolve_approvals(requests, I.decisions(spark, sf), I.REVIEW_TIMEOUT)
+    return tables.merge_latest(stored, resolved, ["id"], ["decided_at"])
+
+
+# What the notes below hold by k % 4, and the mark that is left of it.
+_NOTES = (
+    ("ann.{k}@post.example.net", "[REDACTED:email]"),
+    ("10.0.7.{k}", "[REDACTED:ip_address]"),
+    ("907-11-1{k}", "[REDACTED:ssn]"),
+    ("sk-abcdefghijklmnopqrst{k}", "[REDACTED:api_key]"),
+)
+
+
+def _note_sql(which: int) -> str:
+    k = "lpad(CAST(k % 200 AS STRING), 3, '0')"
+    cases = " ".join(f"WHEN {i} THEN '{n[which]}'" for i, n in enumerate(_NOTES))
+    return f"replace(CASE CAST(k % 4 AS INT) {cases} END, '{{k}}', {k})"
+
+
+@query(
+    "screen_secrets",  # D5, C2, P6: secrets in both directions, redacted in one
+    O.sql(
+        f"""SELECT id, direction, scrub_count, size_bytes, md5(payload) AS payload_md5, blocked FROM (
+      SELECT id, direction, blocked, CAST(CASE WHEN direction = 'server_to_host' THEN 1 ELSE 0 END AS BIGINT) AS scrub_count,
+        text AS payload, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes FROM (
+        SELECT *, '{{"note":"' || CASE WHEN direction = 'server_to_host' THEN {_note_sql(1)} ELSE {_note_sql(0)} END || '",'
+          || substr(payload, 2) AS text FROM logged WHERE event_type <> 'signup'))""",
+        "logged",
+    ),
+)
+def screen_secrets(spark, sf):
+    events = I.events(spark, sf).where("event_type <> 'signup'")
+    notes = events.select(F.col("event_id").alias("seq"), F.expr(_note_sql(0)).alias("note"))
+    raw = T.traffic(events).join(notes, "seq")
+    raw = raw.withColumn("payload", F.concat(F.lit('{"note":"'), "note", F.lit('",'), F.substring("payload", 2, 2**31 - 1))).drop("note")
+    rows = P.to_log_rows(governed.screen(raw, R.Policy(tuple(I.RULES), scrub=True)))
+    return rows.select("id", "direction", F.col("scrub_count").cast("bigint").alias("scrub_count"), "size_bytes", F.md5("payload").alias("payload_md5"), "blocked")
+
+
 # --- streams: the events table read as a stream, to its end ------------------------------
 
 
