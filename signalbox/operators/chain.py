@@ -68,6 +68,13 @@ def block_responses(df: DataFrame) -> DataFrame:
     )
 
 
-def split_outcomes(df: DataFrame) -> dict[str, DataFrame]:
-    """Forwarded, blocked and dropped messages; together they are the input."""
+def split_outcomes(df: DataFrame, stage_dir: str | None = None) -> dict[str, DataFrame]:
+    """Forwarded, blocked and dropped messages; together they are the input.
+
+    With `stage_dir` the chain behind `df` runs once: its rows are written there by
+    status, and each part reads only its own files.
+    """
+    if stage_dir:
+        df.write.partitionBy("status").parquet(stage_dir)
+        df = df.sparkSession.read.schema(df.schema).parquet(stage_dir).select(*df.columns)
     return {name: df.where(F.col("status") == name) for name in (S.FORWARDED, S.BLOCKED, S.DROPPED)}

@@ -669,7 +669,8 @@ def block_responses(spark, sf):
     + "\nSELECT status AS outcome, count(*) AS n_messages FROM chained GROUP BY status",
 )
 def split_outcomes(spark, sf):
-    parts = C.split_outcomes(C.run_chain(I.opened(spark, sf), *_stages()))
+    rows = C.run_chain(I.opened(spark, sf), *_stages()).drop("v")
+    parts = C.split_outcomes(rows, work_dir(spark, "outcomes"))
     counts = [
         df.groupBy(F.lit(name).alias("outcome")).agg(F.count(F.lit(1)).alias("n_messages"))
         for name, df in parts.items()
@@ -1052,10 +1053,21 @@ def screen_secrets(spark, sf):
 # --- streams: the events table read as a stream, to its end ------------------------------
 
 
+_STREAM_FILES = 3
+
+
 def _event_stream(spark, sf) -> DataFrame:
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    return T.typed_events(reader.parquet(sf))
+    """The events as files of consecutive times, one per micro-batch, so that state is carried."""
+    path = work_dir(spark, "event_files")
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    for i in range(_STREAM_FILES):
+        part = events.where(F.col("ts") >= F.lit(low + (high - low) * i / _STREAM_FILES))
+        if i + 1 < _STREAM_FILES:
+            part = part.where(F.col("ts") < F.lit(low + (high - low) * (i + 1) / _STREAM_FILES))
+        part.coalesce(1).write.mode("append").parquet(path)
+    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+    return T.typed_events(reader.parquet(path))
 
 
 def _log_stream(spark, sf) -> DataFrame:
@@ -1102,19 +1114,19 @@ def fan_out(spark, sf):
 )
 def live_stats(spark, sf):
     root = work_dir(spark, "live_stats")
-    write = lambda df, n: df.write.mode("overwrite").parquet(f"{root}/stats")
+    write = L.report_versions(f"{root}/stats")
     running = L.live_stats(_log_stream(spark, sf)).writeStream.outputMode("complete").foreachBatch(write)
     _finish(L.start(running, f"{root}/checkpoint", once=True))
-    return spark.read.parquet(f"{root}/stats")
+    return L.latest_version(spark, f"{root}/stats")
 
 
 @query("live_tool_analytics", O.sql("SELECT * FROM analytics", "analytics"))  # T4
 def live_tool_analytics(spark, sf):
     root = work_dir(spark, "live_tool_analytics")
-    write = lambda df, n: df.write.mode("overwrite").parquet(f"{root}/report")
+    write = L.report_versions(f"{root}/report")
     messages = T.tool_calls(_event_stream(spark, sf))
     _finish(L.live_tool_analytics(messages, I.registry(spark, sf), write, f"{root}/checkpoint", once=True))
-    return spark.read.parquet(f"{root}/report")
+    return L.latest_version(spark, f"{root}/report")
 
 
 @query(
@@ -1150,10 +1162,10 @@ def stream_approvals(spark, sf):
 @query("stream_registry", O.sql("SELECT * FROM seen", "seen"))  # T7
 def stream_registry(spark, sf):
     root = work_dir(spark, "stream_registry")
-    write = lambda df, n: df.write.mode("overwrite").parquet(f"{root}/registry")
+    write = L.report_versions(f"{root}/registry")
     running = L.register_stream(T.sightings(_event_stream(spark, sf)))
     _finish(L.start(running.writeStream.outputMode("complete").foreachBatch(write), f"{root}/checkpoint", once=True))
-    return spark.read.parquet(f"{root}/registry")
+    return L.latest_version(spark, f"{root}/registry")
 
 
 @query(

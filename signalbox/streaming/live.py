@@ -27,6 +27,9 @@ from signalbox.sources.tables import to_storage
 Sink = Callable[[DataFrame, int], None]
 
 FLUSH_EVERY = "500 milliseconds"
+# Files and reports gain nothing from half-second batches.
+WRITE_EVERY = "30 seconds"
+REPORT_EVERY = "1 minute"
 LATENESS = timedelta(minutes=10)
 
 
@@ -39,22 +42,27 @@ def stream_messages(raw: DataFrame, policy: Policy) -> DataFrame:
     return to_log_rows(screen(raw, policy))
 
 
-def start(writer, checkpoint: str, once: bool) -> StreamingQuery:
+def start(writer, checkpoint: str, once: bool, every: str = FLUSH_EVERY) -> StreamingQuery:
+    """`once` works off what is there and ends; else a batch follows each span `every`."""
     writer = writer.option("checkpointLocation", checkpoint)
-    trigger = {"availableNow": True} if once else {"processingTime": FLUSH_EVERY}
+    trigger = {"availableNow": True} if once else {"processingTime": every}
     return writer.trigger(**trigger).start()
 
 
-def append_messages(rows: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+def append_messages(
+    rows: DataFrame, path: str, checkpoint: str, once: bool = False, every: str = WRITE_EVERY
+) -> StreamingQuery:
     """Append log rows to the message table, each exactly once.
 
-    `once` works off what is there and ends; else batches follow every half second.
+    Every batch adds a file per day; `tables.compact_messages` writes such days anew.
     """
     writer = to_storage(rows).writeStream.partitionBy("date").format("parquet").option("path", path)
-    return start(writer, checkpoint, once)
+    return start(writer, checkpoint, once, every)
 
 
-def fan_out(df: DataFrame, sinks: dict[str, Sink], checkpoint: str, once: bool = False) -> StreamingQuery:
+def fan_out(
+    df: DataFrame, sinks: dict[str, Sink], checkpoint: str, once: bool = False, every: str = FLUSH_EVERY
+) -> StreamingQuery:
     """Hand every batch to all sinks. None misses rows; a slow one holds up the next batch.
 
     A sink gets the batch and its number, and may get the same number again after
@@ -69,7 +77,7 @@ def fan_out(df: DataFrame, sinks: dict[str, Sink], checkpoint: str, once: bool =
         finally:
             batch.unpersist()
 
-    return start(df.writeStream.foreachBatch(deliver), checkpoint, once)
+    return start(df.writeStream.foreachBatch(deliver), checkpoint, once, every)
 
 
 def batch_table(path: str, select: Callable[[DataFrame], DataFrame] = lambda df: df) -> Sink:
@@ -81,13 +89,38 @@ def batch_table(path: str, select: Callable[[DataFrame], DataFrame] = lambda df:
     return write
 
 
+def report_versions(path: str) -> Sink:
+    """A sink that keeps one version per batch, for `latest_version` to read.
+
+    A version appears when it is complete, and none is taken away, so a reader
+    never meets a half-written report.
+    """
+
+    def write(report: DataFrame, batch_id: int) -> None:
+        report.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+
+    return write
+
+
+def latest_version(spark: SparkSession, path: str) -> DataFrame:
+    """The newest report of `report_versions`; only its files are read."""
+    versions = spark.read.parquet(path)
+    newest = versions.agg(F.max("version")).first()[0]
+    return versions.where(F.col("version") == newest).drop("version")
+
+
 def live_stats(messages: DataFrame) -> DataFrame:
     """Running totals and kinds per session, for update or complete output."""
     return stats_by_session(messages)
 
 
 def live_tool_analytics(
-    messages: DataFrame, registry: DataFrame, sink: Sink, checkpoint: str, once: bool = False
+    messages: DataFrame,
+    registry: DataFrame,
+    sink: Sink,
+    checkpoint: str,
+    once: bool = False,
+    every: str = REPORT_EVERY,
 ) -> StreamingQuery:
     """Running tool analytics: each batch hands the current report to `sink`.
 
@@ -107,7 +140,7 @@ def live_tool_analytics(
         )
         sink(listed_usage(registry, usage), batch_id)
 
-    return start(per_session.writeStream.outputMode("complete").foreachBatch(report), checkpoint, once)
+    return start(per_session.writeStream.outputMode("complete").foreachBatch(report), checkpoint, once, every)
 
 
 class ListPairing:
@@ -126,8 +159,11 @@ class ListPairing:
     def __init__(self, root: str, ttl: timedelta = DEFAULT_TTL, lateness: timedelta = LATENESS):
         self.root, self.ttl, self.lateness = root, ttl, lateness
 
-    def start(self, events: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
-        return start(events.writeStream.foreachBatch(self.take), checkpoint, once)
+    def start(
+        self, events: DataFrame, checkpoint: str, once: bool = False, every: str = REPORT_EVERY
+    ) -> StreamingQuery:
+        """Results wait for `lateness` anyway, so batches may well be minutes apart."""
+        return start(events.writeStream.foreachBatch(self.take), checkpoint, once, every)
 
     def take(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
