@@ -262,7 +262,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
         partial(_occurrences, length=length, gram=gram), "body binary, anchor long, context long, lo int, n int"
     )
     found = staged(found, "anchors")
-    again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    # Written first: the join then stands on two plain shuffles, which can be split where an anchor is hot.
+    again = staged(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "again")
     found = staged(found.join(again, "anchor", "left_semi"), "repeated_anchors")
     contexts = found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("body", "lo", "n")).alias("place"))
     contexts = staged(contexts, "contexts")
