@@ -150,7 +150,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     sketch = partial(_sketch, k=k, bands=bands, rows=rows)
     sigs = staged(docs.mapInArrow(sketch, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "signatures")
     known = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    # Written first: used twice, and the join with its copies can then be split where a class is hot.
+    classes = staged(known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     buckets = staged(classes.select("rep", F.explode("bands").alias("key")), "buckets")
     copies = (
         known.join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"])
