@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from signalbox.llm.staging import staged
 
 #: Documents of a block, and exponents tried in one pass over the table of sources.
-BLOCK_DOCS, TRIED, PASSES = 5_000, 33, 4
+BLOCK_DOCS, TRIED, PASSES = 1_000, 33, 4
 
 
 def word_count(text: Column) -> Column:
