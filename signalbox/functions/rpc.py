@@ -54,30 +54,17 @@ def is_whole(w: Column, mark: Column) -> Column:
     )
 
 
-# The plain parser refuses nesting beyond 1,000 levels and numbers beyond 1,000 digits. The
-# second one takes any number and any nesting that values can be built for without a deep
-# stack; the third reads the envelope only and skips everything else, however deep.
-_LARGE = {"maxNestingDepth": "2000", "maxNumLen": "2000000000", "maxStringLen": "2000000000"}
-_ANY_DEPTH = _LARGE | {"maxNestingDepth": "2000000000"}
+# The plain parser refuses nesting beyond 1,000 levels and numbers beyond 1,000 digits. This one
+# reads the envelope only and skips everything else, however deep or long.
+_ANY_DEPTH = {"maxNestingDepth": "2000000000", "maxNumLen": "2000000000", "maxStringLen": "2000000000"}
 _ENVELOPE = (
-    "array<struct<jsonrpc:string,id:string,method:string,error:struct<code:string,message:string>,"
+    "array<struct<jsonrpc:string,id:string,method:string,error:struct<code:bigint,message:string>,"
     "params:struct<name:string>,_mark:bigint>>"
 )
 
 
-def wrapped_large(payload: Column, mark: Column) -> Column:
-    """As `wrapped`, as an array of variants, for what is too deep or long for the plain parser."""
-    text = F.concat(F.lit("["), payload, F.lit(","), mark.cast("string"), F.lit("]"))
-    return F.from_json(text, "array<variant>", _LARGE)
-
-
-def whole_large(w: Column, mark: Column) -> Column:
-    """The message in `wrapped_large`, if it is all there is."""
-    whole = (F.size(w) == 2) & (F.try_variant_get(F.get(w, F.lit(1)), "$", "bigint") == mark)
-    return F.when(whole, F.get(w, F.lit(0)))
-
-
 def wrapped_deep(payload: Column, mark: Column) -> Column:
+    """As `wrapped`, with the mark as an object of its own."""
     text = F.concat(F.lit("["), payload, F.lit(',{"_mark":'), mark.cast("string"), F.lit("}]"))
     return F.from_json(text, _ENVELOPE, _ANY_DEPTH)
 
@@ -88,20 +75,9 @@ def whole_deep(w: Column, mark: Column) -> Column:
     Here an id of digits reads as a number and any other id as text; what is no text where text is
     due reads as its JSON text, so that such a message meets the rules instead of passing by.
     """
-    e = F.get(w, F.lit(0))
-    scalar = F.when(e["id"].rlike(r"^(?:-?\d+|true|false|null)$"), e["id"]).otherwise(json_text(e["id"]))
-    code = F.when(e["error"]["code"].rlike(r"^-?\d{1,18}$"), F.concat(F.lit('"code":'), e["error"]["code"]))
-    message = F.concat(F.lit('"message":'), json_text(e["error"]["message"]))
-    fields = F.concat_ws(
-        ",",
-        F.concat(F.lit('"jsonrpc":'), json_text(e["jsonrpc"])),
-        F.concat(F.lit('"id":'), scalar),
-        F.concat(F.lit('"method":'), json_text(e["method"])),
-        F.when(e["error"].isNotNull(), F.concat(F.lit('"error":{'), F.concat_ws(",", code, message), F.lit("}"))),
-        F.concat(F.lit('"params":{"name":'), json_text(e["params"]["name"]), F.lit("}")),
-    )
     whole = (F.size(w) == 2) & (F.get(w, F.lit(1))["_mark"] == mark)
-    return F.when(whole, F.try_parse_json(F.concat(F.lit("{"), fields, F.lit("}"))))
+    text = F.to_json(F.when(whole, F.get(w, F.lit(0))))
+    return F.try_parse_json(F.regexp_replace(text, r'(?<=[{,]"id":)"(-?\d+|true|false|null)"', "$1"))
 
 
 def starts_object(payload: Column) -> Column:

@@ -18,7 +18,8 @@ def parse_messages(df: DataFrame, payload: str = "payload") -> DataFrame:
     counts as present. A line fails to parse if it is not one JSON object (or
     null), or if a field with a fixed type holds another type. Such lines are
     forwarded untouched by later stages and never logged. Nesting and long numbers
-    are no reason to fail: beyond 2,000 levels `v` holds the envelope alone.
+    are no reason to fail: beyond what the plain
+    parser takes, `v` holds the envelope alone.
     """
     prepare(df.sparkSession)
     v, p = F.col("v"), F.col(payload)
@@ -39,8 +40,6 @@ def parse_messages(df: DataFrame, payload: str = "payload") -> DataFrame:
         .withColumn("_w", once(rpc.wrapped(p, F.col("_mark"))))
         .withColumn("v", F.when(rpc.is_whole(F.col("_w"), F.col("_mark")), rpc.part(F.col("_w"), "$[0]")))
         .withColumn("v", once(F.when(rpc.starts_object(p) | F.is_variant_null(v), v)))
-        .withColumn("_w", once(F.when(v.isNull() & rpc.starts_object(p), rpc.wrapped_large(p, F.col("_mark")))))
-        .withColumn("v", once(F.coalesce(v, rpc.whole_large(F.col("_w"), F.col("_mark")))))
         .withColumn("_w", once(F.when(v.isNull() & rpc.starts_object(p), rpc.wrapped_deep(p, F.col("_mark")))))
         .withColumn("v", once(F.coalesce(v, rpc.whole_deep(F.col("_w"), F.col("_mark")))))
         .withColumn("parse_error", once(~F.coalesce(v.isNotNull() & well_typed, F.lit(False))))
