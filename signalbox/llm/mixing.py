@@ -16,9 +16,8 @@ BLOCK_DOCS, TRIED, PASSES = 1_000, 33, 4
 
 def word_count(text: Column) -> Column:
     """Words between white space; a null text has none."""
-    return F.when(F.coalesce(F.trim(F.translate(text, "\t\n\x0b\f\r", "     ")), F.lit("")) == "", F.lit(0)).otherwise(
-        F.size(F.split(F.trim(F.translate(text, "\t\n\x0b\f\r", "     ")), " +"))
-    ).cast("long")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, "[ \t\n\x0b\f\r]+"))).cast("long")
 
 
 def find_exponent(sources: DataFrame, entropy: float | None = None, repetition: float | None = None) -> float:
