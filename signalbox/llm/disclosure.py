@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +24,9 @@ PATTERNS = {
 }
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 _TERM = r"\p{L}{3,}+"
-#: Characters around an entity that are its context; documents a pair must share; shares of an
-#: entity's information from which on a term is generalised or removed.
-REACH, MIN_SHARED, GENERALISE, REMOVE = 80, 3, 0.7, 0.9
+#: Documents by which what a term tells is drawn towards nothing; shares of an entity's information
+#: from which on a term is generalised or removed.
+SHRINK, GENERALISE, REMOVE = 7.0, 0.7, 0.9
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -49,15 +51,18 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def placed(text: Column, pattern: str, found: Column) -> Column:
-    """`found`, all matches of `pattern` in `text`, with their places, from the lengths of what lies between."""
+def placed(text: Column, pattern: str, found: Column, keep: Callable[[Column], Column] | None = None) -> Column:
+    """`found`, all matches of `pattern` in `text`, with their places, from the lengths of what lies between; those that `keep` takes."""
     pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("p"), found.alias("v"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         a = acc["at"] + F.length(x["p"])
         b = a + F.length(x["v"])
-        return F.struct(b.alias("at"), F.array_append(acc["out"], F.struct(a.alias("start"), b.alias("end"), x["v"].alias("value"))).alias("out"))
+        out = F.array_append(acc["out"], F.struct(a.alias("start"), b.alias("end"), x["v"].alias("value")))
+        if keep:
+            out = F.when(keep(x["v"]), out).otherwise(acc["out"])
+        return F.struct(b.alias("at"), out.alias("out"))
 
     return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPANS))
 
@@ -89,61 +94,63 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _contexts(base: DataFrame) -> DataFrame:
-    """(_row, entity, term, start, end): terms within reach of an entity in its line."""
-    lines = base.where(F.size("entities") > 0).select("_row", "_text")
-    lines = lines.withColumn("_lines", once(F.split("_text", "\n")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    offsets = F.aggregate(
-        "_lines",
-        start,
-        lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")),
-        lambda acc: acc["out"],
-    )
-    lines = lines.select("_row", F.explode(F.arrays_zip(F.col("_lines").alias("line"), offsets.alias("offset"))).alias("l"))
-    lines = lines.select("_row", F.col("l.line").alias("line"), F.col("l.offset").alias("offset"))
-    lines = with_entities(lines, "line").where(F.size("entities") > 0)
-    lines = lines.withColumn("_words", once(F.regexp_extract_all("line", F.lit(_TERM), F.lit(0))))
-    lines = lines.withColumn("_terms", once(placed(F.col("line"), _TERM, F.col("_words"))))
-    apart = F.filter("_terms", lambda t: ~F.exists("entities", lambda e: (t["start"] < e["end"]) & (t["end"] > e["start"])))
-    lines = lines.withColumn("_terms", once(apart))
-    lines = lines.select("_row", "offset", "_terms", F.explode("entities").alias("e"))
-    near = F.filter("_terms", lambda t: (t["end"] > F.col("e.start") - REACH) & (t["start"] < F.col("e.end") + REACH))
-    lines = lines.select("_row", "offset", F.concat_ws(":", "e.kind", F.lower("e.value")).alias("entity"), F.explode(near).alias("t"))
-    return lines.select(
-        "_row", "entity", F.lower("t.value").alias("term"), (F.col("offset") + F.col("t.start")).alias("start"), (F.col("offset") + F.col("t.end")).alias("end")
-    )
-
-
-def disclosing_terms(docs: DataFrame, contexts: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
-    """(entity, term, share): how much of an entity's information a term gives, over all documents.
-
-    With n documents, the share is PMI(entity; term) / IC(entity), where the pointwise mutual
-    information is log(n n(entity, term) / (n(entity) n(term))) and the information content
-    log(n / n(entity)). It is 1 if the term occurs only around the entity. n(entity, term) counts
-    documents with the term in the entity's context, n(term) those with the term anywhere.
-    Pairs that share fewer than `min_shared` documents tell nothing reliable.
+def _terms(text: Column) -> Column:
+    """The different terms outside entities, in small letters. Of the entities only e-mail addresses have letters."""
+    bare = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], "0")).otherwise(text)
+    return F.array_distinct(F.transform(F.regexp_extract_all(bare, F.lit(_TERM), F.lit(0)), lambda t: F.lower(t)))
+
+
+def _share(both: Column, n_entity: Column, n_term: Column, n: int, shrink: float) -> Column:
+    p = n_entity / F.lit(float(n))
+    given = (both + shrink * p) / (n_term + shrink)
+    return F.when(p < 1, F.log(given / p) / -F.log(p))
+
+
+def disclosing_terms(docs: DataFrame, held: DataFrame, n: int, generalise: float = GENERALISE, shrink: float = SHRINK) -> DataFrame:
+    """(_row, term, share) for the terms that give `generalise` or more of an entity of their document away.
+
+    `held` has (_row, entities, terms) of the rows with entities. Of n documents, an entity stands in
+    n(entity), a term in n(term), both in n(both). The share is log(p(entity | term) / p(entity)) /
+    -log p(entity), the pointwise mutual information over the entity's information content, with
+    p(entity) = n(entity) / n. p(entity | term) is drawn towards p(entity), as if `shrink` documents
+    without news of the entity had the term too: (n(both) + shrink p(entity)) / (n(term) + shrink).
+    So a term met once is judged, but counts less than one that always goes with its entity. The
+    share is 1 at most, and the largest over the document's entities counts.
+
+    Entities of one document share their terms' n(both) = 1, so no pair of theirs is a row.
     """
-    n = docs.count()
-    pairs = contexts.select("_row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
-    pairs = staged(pairs.where(F.col("both") >= min_shared), "pairs")
-    entities = contexts.select("_row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(_TERM), F.lit(0)))
-    wanted = staged(pairs.select("term").distinct(), "terms")
-    terms = docs.select(F.explode(words).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    found = pairs.join(entities, "entity").join(terms, "term")
-    pmi = F.log(F.lit(float(n)) * F.col("both") / (F.col("n_entity") * F.col("n_term")))
-    content = F.log(F.lit(float(n)) / F.col("n_entity"))
-    return found.where(content > 0).select("entity", "term", (pmi / content).alias("share"))
+    one = docs.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term"), F.lit(1).alias("one"))
+    own = held.select(F.explode("terms").alias("term"), F.lit(0).alias("one"))
+    terms = one.union(own).groupBy("term").agg(F.sum("one").alias("n_term"), F.min("one").alias("least"))
+    terms = staged(terms.where("least = 0").select("term", "n_term"), "terms")
+    entities = held.select("_row", F.explode("entities").alias("entity")).groupBy("entity")
+    entities = staged(entities.agg(F.count(F.lit(1)).alias("n_entity"), F.min("_row").alias("_row")), "entity_counts")
+
+    share = _share(F.lit(1), F.lit(1), F.col("n_term"), n, shrink)
+    rare = staged(terms.select("term", share.alias("share")).where(F.col("share") >= generalise), "rare_terms")
+    alone = entities.where("n_entity = 1").select("_row").distinct()
+    marks = held.select("_row", F.explode("terms").alias("term")).join(rare, "term").join(alone, "_row", "left_semi")
+
+    again = held.select("_row", F.explode("entities").alias("entity")).join(entities.where("n_entity > 1").select("entity"), "entity")
+    again = again.groupBy("_row").agg(F.collect_list("entity").alias("entities"))
+    again = staged(again.join(held.select("_row", "terms"), "_row"), "repeated")
+    met = again.select("_row", "terms", F.explode("entities").alias("entity")).select("_row", "entity", F.explode("terms").alias("term"))
+    pairs = staged(met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")), "pairs")
+    pairs = pairs.join(entities.select("entity", "n_entity"), "entity").join(terms, "term")
+    share = _share(F.col("both"), F.col("n_entity"), F.col("n_term"), n, shrink)
+    pairs = staged(pairs.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise), "shares")
+    marks = marks.select("_row", "term", "share").union(met.join(pairs, ["entity", "term"]).select("_row", "term", "share"))
+    return marks.groupBy("_row", "term").agg(F.max("share").alias("share"))
 
 
 def sanitised(
-    docs: DataFrame, with_text: bool = True, min_shared: int = MIN_SHARED, generalise: float = GENERALISE, remove: float = REMOVE
+    docs: DataFrame, with_text: bool = True, generalise: float = GENERALISE, remove: float = REMOVE, shrink: float = SHRINK
 ) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans[, safe_text]) of every row of `docs` (doc_id, text).
 
-    `spans` lists kind:start:end in code points: the base kinds, and `remove` or `general` for a term
-    near an entity that gives `remove` (`generalise`) or more of its information away. In
+    `spans` lists kind:start:end in code points: the base kinds, and `remove` or `general` for every
+    occurrence of a term that gives `remove` (`generalise`) or more of the information of one of the
+    document's entities away, wherever it stands in the document. In
     `safe_text` base spans become their kind in brackets, removed terms `[...]`, generalised
     terms their first two letters and `*`; a span that begins inside an earlier one goes with it.
     A null text reads as empty (`safe_text` too). doc_id may be null or repeat: rows are told apart
@@ -157,15 +164,23 @@ def sanitised(
     base = with_entities(base, "_text")
     kept_text = F.col("_text") if with_text else F.when(F.size("entities") > 0, F.col("_text"))
     base = staged(base.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "entities", kept_text.alias("_text")), "entities")
-    contexts = staged(_contexts(base), "contexts")
-    shares = disclosing_terms(docs, contexts, min_shared).where(F.col("share") >= generalise)
-    marks = contexts.join(shares, ["entity", "term"]).groupBy("_row", "start", "end").agg(F.max("share").alias("share"))
-    rank = F.when(F.col("share") >= remove, len(KINDS)).otherwise(len(KINDS) + 1)
-    kind = F.when(F.col("share") >= remove, "remove").otherwise("general")
-    mark = F.struct("start", rank.alias("rank"), kind.alias("kind"), "end", F.lit(None).cast("string").alias("value"))
-    marks = marks.groupBy("_row").agg(F.collect_list(mark).alias("marks"))
+    keys = F.array_distinct(F.transform("entities", lambda e: F.concat_ws(":", e["kind"], F.lower(e["value"]))))
+    held = base.where(F.size("entities") > 0).select("_row", keys.alias("entities"), _terms(F.col("_text")).alias("terms"))
+    marks = disclosing_terms(docs, staged(held, "held"), base.count(), generalise, shrink)
+    marks = marks.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("marks"))
     out = base.join(marks, "_row", "left")
-    spans = F.when(F.col("marks").isNull(), F.col("entities")).otherwise(F.array_sort(F.concat("entities", "marks")))
+    out = out.withColumn("_words", once(F.when(F.col("marks").isNotNull(), F.regexp_extract_all("_text", F.lit(_TERM), F.lit(0)))))
+    found = placed(F.col("_text"), _TERM, F.col("_words"), lambda v: F.col("marks")[F.lower(v)].isNotNull())
+    apart = F.filter(found, lambda t: ~F.exists("entities", lambda e: (t["start"] < e["end"]) & (t["end"] > e["start"])))
+    out = out.withColumn("_found", once(F.when(F.col("marks").isNotNull(), apart)))
+
+    def mark(t: Column) -> Column:
+        gone = F.col("marks")[F.lower(t["value"])] >= remove
+        rank = F.when(gone, len(KINDS)).otherwise(len(KINDS) + 1)
+        kind = F.when(gone, "remove").otherwise("general")
+        return F.struct(t["start"].alias("start"), rank.alias("rank"), kind.alias("kind"), t["end"].alias("end"), F.lit(None).cast("string").alias("value"))
+
+    spans = F.when(F.col("marks").isNull(), F.col("entities")).otherwise(F.array_sort(F.concat("entities", F.transform("_found", mark))))
     out = out.withColumn("_spans", once(spans))
     counts = [_number_of(k).alias(f"n_{k}") for k in KINDS]
     columns = ["doc_id", *counts, F.sha2(_joined(F.col("entities")), 256).alias("base_sha256"), _joined(F.col("_spans")).alias("spans")]

@@ -189,3 +189,20 @@ def test_disclosure(spark):
     assert by[None].n_phone == 1 and by[None].n_card == 1 and by[None].safe_text == "[PHONE] and [CARD]."
     assert (by[60].n_email, by[60].n_ip, by[60].n_card) == (3, 3, 0)
     assert disclosure.sanitised(df.limit(0)).count() == 0
+
+
+def test_disclosure_of_unique_entities(spark):
+    common = "the report was sent to all of them"
+    rows = [(i, f"{common} again", "s", "x") for i in range(1500)]
+    text = f"Dear Quorvax,\n{common}. {'filler ' * 60}\n{common} by quorvax\n\nzelmira.quorvax@mail.example.com"
+    rows += [(2000, text, "s", "x"), (2001, "Dear Umbrell, no entity stands here", "s", "x")]
+    rows += [(3000 + i, f"Yendor wrote {common} to 10.1.2.3\n", "s", "x") for i in range(60)]
+    by = {r.doc_id: r for r in disclosure.sanitised(docs(spark, rows)).collect()}
+    marks = [s.split(":") for s in by[2000].spans.split(",")]
+    marked = [(k, text[int(a) : int(b)]) for k, a, b in marks]
+    assert [v for k, v in marked if v.lower() == "quorvax"] == ["Quorvax", "quorvax"]
+    assert {k for k, v in marked if v.lower() == "quorvax"} == {"general"}
+    assert marked[-1] == ("email", "zelmira.quorvax@mail.example.com")
+    assert not {v for _, v in marked} & set(common.split()) and common in by[2000].safe_text
+    assert by[2001].spans == "" and by[2001].safe_text == rows[1501][1]
+    assert all(by[3000 + i].safe_text == f"[...] [...] {common} to [IP]\n" for i in range(60))
