@@ -237,10 +237,25 @@ def _block_links(group: pd.DataFrame, k: int, percent: int) -> pd.DataFrame:
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` to keep, with all their columns: one row of each component.
+    """The rows of `docs` to keep, with all their columns: those of one doc_id of each component.
 
-    Rows with a null doc_id stay, as do rows without words; of rows that repeat a kept doc_id
-    the smallest by text stays.
+    Rows with a null doc_id stay, as do rows without words. All rows that repeat a kept doc_id stay
+    too; `one_row_each` takes one of them.
     """
     gone = near_duplicates(docs, **options).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+
+
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """One row of each doc_id, the smallest by text (null before any other, then by a hash of the
+    other columns), and of the rows with a null doc_id one for each text.
+
+    The smallest is a partial aggregate, so a group of any size is one row of each task. Texts of
+    null ids are grouped by their digest.
+    """
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    tie = F.xxhash64(*others) if others else F.lit(0)
+    orphan = F.when(F.col("doc_id").isNull(), F.coalesce(F.sha2("text", 256), F.lit("")))
+    by, row = F.struct("text", tie.alias("tie")).alias("_by"), F.struct(*docs.columns).alias("_row")
+    rows = docs.select(F.col("doc_id").alias("_id"), orphan.alias("_orphan"), by, row)
+    return rows.groupBy("_id", "_orphan").agg(F.min_by("_row", "_by").alias("_row")).select("_row.*")

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from signalbox.llm import minhash
 from signalbox.llm.bytesops import U, mix
 from signalbox.llm.graph import components
@@ -102,3 +103,14 @@ def test_components(spark):
 
 def test_empty(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_row_of_a_repeated_id(spark):
+    long = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(4)]
+    rows = [(1, long[0], "a"), (1, long[0], "a"), (1, long[1], "b"), (2, long[2], "a"), (2, long[2], "a"), (3, long[2], "a")]
+    rows += [(None, long[3], "a"), (None, long[3], "a"), (None, long[0], "a"), (None, None, "a"), (None, None, "a"), (4, None, "a"), (4, "", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = corpus_pipeline.near_dedup(spark, df, "")
+    assert got.columns == df.columns
+    want = [rows[0], rows[3], rows[11], rows[6], rows[8], rows[9]]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
