@@ -24,8 +24,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Smaller sources repeated, up to twice, towards equal weights; no document is left out."""
-    return mixing.mix_sources(docs, repetition=2.0).select(*docs.columns)
+    """Smaller sources repeated, up to twice, towards equal weights; no document is left out. Rows come in random order."""
+    mixed = mixing.mix_sources(docs, repetition=2.0).repartitionByRange("_order").sortWithinPartitions("_order")
+    return mixed.select(*docs.columns)
 
 
 def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,3 +39,15 @@ def test_pipeline(spark, tmp_path):
     assert sum(r.n_tokens for r in out) == total
     assert {i for r in out for i in r.doc_ids} == set(kept[2])
     assert all(len(np.frombuffer(r.ids, "<u2")) == 2048 for r in out)
+
+
+def test_mixed_rows_come_in_random_order(spark):
+    rows = [(i, f"text number {i}", "big" if i < 200 else "small") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = corpus_pipeline.source_mixing(spark, docs, "")
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.source) for r in out.collect()]
+    assert len(got) > 300 and len(set(got)) == 300
+    changes = sum(a[1] != b[1] for a, b in zip(got, got[1:]))
+    assert changes > len(got) / 4
+    assert sum(a == b for a, b in zip(got, got[1:])) < 10
