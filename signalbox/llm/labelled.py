@@ -18,7 +18,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, each: int) -> tuple[p
 
     Only documents that are not held out are taken, in the order of a hash of their ids. The ids
     are chosen from `labels` alone, so what is broadcast to find their texts is bounded by `each`.
-    Null labels and ids are passed over; an id with several labels counts with the largest.
+    Null labels and ids are passed over; an id with several labels counts with the largest. Of rows
+    that repeat an id the smallest by text (then by lang) is taken, null before any other, so at most
+    2 * `each` rows reach the driver.
     """
     known = labels.where(f"doc_id IS NOT NULL AND {label} IS NOT NULL").groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     known = known.where(~held_out("doc_id"))
@@ -27,7 +29,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, each: int) -> tuple[p
     chosen = F.broadcast(parts[0].union(parts[1]))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.cast("string").alias("lang"))
-    found = rows.join(chosen, "doc_id").select("doc_id", "text", "lang", "y").toPandas().sort_values(["doc_id", "text"], ignore_index=True)
+    met = rows.join(chosen, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("first"), F.min("y").alias("y"))
+    found = met.select("doc_id", "first.text", "first.lang", "y").toPandas().sort_values("doc_id", ignore_index=True)
     weight = np.ones(len(found))
     for y in (0, 1):
         taken = (found["y"] == y).to_numpy()

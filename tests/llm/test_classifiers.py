@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from signalbox.llm import linecrf, toxicity
+from signalbox.llm import labelled, linecrf, toxicity
 from signalbox.llm.bytesops import text_chunks
 import pyarrow as pa
 
@@ -134,3 +134,12 @@ def test_line_features():
     copy = linecrf.FEATURES.index("copy of a line")
     assert f[:, copy].tolist() == [0, 0, 1, 0]
     assert f[0, linecrf.FEATURES.index("word seen in line")] == 1 / 3
+
+
+def test_sample_takes_one_row_of_each_document(spark):
+    rows = [(i, f"text {i} {j:03}", "en") for i in range(40) for j in range(50 if i < 20 else 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    found, weight = labelled.sample(docs, labels, "toxic", 5)
+    assert len(found) == len(weight) == 10 and (found["y"] == 1).sum() == 5
+    assert found["text"].str.endswith(" 000").all() and found["text"].is_unique
