@@ -276,14 +276,23 @@ def resolve_stream(
 
 
 def open_at_end(
-    requests: DataFrame, decisions: DataFrame, written: DataFrame, timeout: timedelta = DEFAULT_TIMEOUT
+    requests: DataFrame,
+    decisions: DataFrame,
+    written: DataFrame,
+    timeout: timedelta = DEFAULT_TIMEOUT,
+    lateness: timedelta = LATENESS,
 ) -> DataFrame:
-    """What `resolve_stream` has not written when a stream ends, resolved from the stored tables.
+    """What `resolve_stream` could not yet write when its streams end, resolved from the stored tables.
 
-    A request stays in state until a later event passes its deadline, which at the
-    end of the input never comes.
+    A request stays in state until later events of both streams pass its deadline by `lateness`, which
+    at the end of the input never comes. Requests that were passed are not filled in: what the
+    stream lost stays missing. Watermarks are whole milliseconds, in the join and in the aggregation.
     """
+    newest = [requests.agg(F.max("ts")).first()[0], decisions.agg(F.max("decided_at")).first()[0]]
     rest = requests.join(written.select("id").distinct(), "id", "left_anti")
+    if None not in newest:
+        due = F.col("ts") + F.lit(effective_timeout(timeout)) + F.lit(lateness + timedelta(milliseconds=2))
+        rest = rest.where(F.col("ts").isNull() | (due >= F.lit(min(newest))))
     return resolve_approvals(rest, decisions, timeout)
 
 

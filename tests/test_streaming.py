@@ -140,3 +140,13 @@ def test_registry_streams(spark, tmp_path):
         target = f"{out}-{horizon is None}"
         L.start(seen.writeStream.format("parquet").option("path", target), target + "-c", once=True).awaitTermination()
         assert spark.read.parquet(target).count() == 2
+
+
+def test_open_at_end_does_not_fill_in_what_the_stream_lost(spark):
+    rows = [("lost", 0), ("written", 0), ("open", 100), ("newest", 101), ("untimed", None)]
+    at = "CASE WHEN m IS NOT NULL THEN TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(0, 0, m) END"
+    requests = spark.createDataFrame(rows, "id string, m int").selectExpr("id", f"{at} AS ts")
+    decisions = spark.createDataFrame([("other", 101, True, 1)], "approval_id string, m int, approved boolean, decision_seq long")
+    decisions = decisions.selectExpr("approval_id", f"{at} AS decided_at", "approved", "decision_seq")
+    rest = L.open_at_end(requests, decisions, requests.where("id = 'written'"))
+    assert sorted(r.id for r in rest.collect()) == ["newest", "open", "untimed"]
