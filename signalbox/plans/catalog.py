@@ -1057,14 +1057,23 @@ _STREAM_FILES = 3
 
 
 def _event_stream(spark, sf) -> DataFrame:
-    """The events as files of consecutive times, one per micro-batch, so that state is carried."""
+    """The events as files of consecutive times, one per micro-batch, so that state is carried.
+
+    Events without a time are in the first file.
+    """
     path = work_dir(spark, "event_files")
     events = spark.read.parquet(f"{sf}/events.parquet")
     low, high = events.agg(F.min("ts"), F.max("ts")).first()
     for i in range(_STREAM_FILES):
-        part = events.where(F.col("ts") >= F.lit(low + (high - low) * i / _STREAM_FILES))
-        if i + 1 < _STREAM_FILES:
-            part = part.where(F.col("ts") < F.lit(low + (high - low) * (i + 1) / _STREAM_FILES))
+        part = events
+        if low is None:
+            part = events.where(F.lit(i == 0))
+        else:
+            if i > 0:
+                part = part.where(F.col("ts") >= F.lit(low + (high - low) * i / _STREAM_FILES))
+            if i + 1 < _STREAM_FILES:
+                before = F.col("ts") < F.lit(low + (high - low) * (i + 1) / _STREAM_FILES)
+                part = part.where(before | F.col("ts").isNull() if i == 0 else before)
         part.coalesce(1).write.mode("append").parquet(path)
     reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
     return T.typed_events(reader.parquet(path))

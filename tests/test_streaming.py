@@ -7,6 +7,7 @@ from signalbox.operators import approvals as A
 from signalbox.operators import correlate as J
 from signalbox.operators import messages as P
 from signalbox.operators.policy import Policy, Rule
+from signalbox.plans import catalog
 from signalbox.plans.governed import screen
 from signalbox.sources import tables
 from signalbox.streaming import live as L
@@ -150,3 +151,15 @@ def test_open_at_end_does_not_fill_in_what_the_stream_lost(spark):
     decisions = decisions.selectExpr("approval_id", f"{at} AS decided_at", "approved", "decision_seq")
     rest = L.open_at_end(requests, decisions, requests.where("id = 'written'"))
     assert sorted(r.id for r in rest.collect()) == ["newest", "open", "untimed"]
+
+
+def test_event_stream_has_every_event(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(50)
+    untimed = events.withColumn("ts", F.when(F.col("event_id") % 5 > 0, F.col("ts")))
+    for name, rows in {"some": untimed, "none": untimed.withColumn("ts", F.lit(None).cast(events.schema["ts"].dataType)), "empty": events.limit(0)}.items():
+        rows.write.parquet(f"{tmp_path}/{name}/events.parquet")
+        writer = catalog._event_stream(spark, f"{tmp_path}/{name}").writeStream.format("parquet").option("path", f"{tmp_path}/{name}/out")
+        L.start(writer, f"{tmp_path}/{name}/checkpoint", once=True).awaitTermination()
+        out = spark.read.schema("event_id long").parquet(f"{tmp_path}/{name}/out")
+        want = spark.read.parquet(f"{tmp_path}/{name}/events.parquet")
+        assert sorted(r.event_id for r in out.collect()) == sorted(r.event_id for r in want.collect())
