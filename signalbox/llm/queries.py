@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import decontaminate, disclosure, hostrules, linecrf, minhash, mixing, packing, quotes, repeats, toxicity
+from signalbox.llm import audit, decontaminate, disclosure, hostrules, linecrf, minhash, mixing, packing, quotes, repeats, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -87,3 +87,8 @@ def op10_disclosure(spark, sf):
 def op8_quotes(spark, sf):
     linked = quotes.link_quotes(_read(spark, sf, "conversations"))
     return linked.withColumn("text_md5", F.md5("text")).drop("text")
+
+
+@query("op12_audit", audit.ORACLE)
+def op12_audit(spark, sf):
+    return audit.audit_documents(_read(spark, sf, "documents"), _read(spark, sf, "labels"))
