@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import audit, decontaminate, disclosure, hostrules, linecrf, minhash, mixing, packing, quotes, repeats, toxicity
+from signalbox.llm import audit, decontaminate, disclosure, hostrules, linecrf, minhash, mixing, negatives, packing, quotes, repeats, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -92,3 +92,8 @@ def op8_quotes(spark, sf):
 @query("op12_audit", audit.ORACLE)
 def op12_audit(spark, sf):
     return audit.audit_documents(_read(spark, sf, "documents"), _read(spark, sf, "labels"))
+
+
+@query("op13_negatives", negatives.ORACLE)
+def op13_negatives(spark, sf):
+    return negatives.hard_negatives(negatives.shifted_labels(_read(spark, sf, "embeddings")), "vec_id % 50 = 0")
