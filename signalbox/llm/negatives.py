@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalbox.llm.staging import staged
+from signalbox.llm.vectors import one_of_each, sound
 
 #: Rows of one block, anchors that meet a block in one task, rows of a leaf and children of a node.
 BLOCK, ANCHORS, LEAF, FAN = 8192, 1024, 512, 8
@@ -172,16 +173,13 @@ def whole_vectors(rows: DataFrame, scale: int = 256) -> DataFrame:
 
     q holds floor(scale * x) of each component as a little-endian int, cut to the ends of an int. Left out are rows
     with a null id, label or vector and those with a null or non-finite component. Of rows that repeat a vec_id the
-    smallest by (label, first, q) stands for all, found by a partial aggregate.
+    smallest by (label, first, q) stands for all.
     """
     vector = F.col("embedding").cast("array<double>")
-    sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    known = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), vector.alias("vector"), sound.alias("sound"))
+    known = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), vector.alias("vector"), sound(vector).alias("sound"))
     known = known.where("vec_id IS NOT NULL AND label IS NOT NULL AND sound").select("vec_id", "label", "vector")
     packed = staged(known.mapInArrow(partial(_whole, scale=scale), "vec_id long, label long, first int, q binary"), "vectors")
-    twice = staged(packed.groupBy("vec_id").count().where("count > 1").select("vec_id"), "repeated_vectors")
-    again = packed.join(twice, "vec_id", "left_semi").groupBy("vec_id").agg(F.min(F.struct("label", "first", "q")).alias("r"))
-    return packed.join(twice, "vec_id", "left_anti").union(again.select("vec_id", "r.label", "r.first", "r.q"))
+    return one_of_each(packed, "vec_id", "label", "first", "q")
 
 
 def hard_negatives(rows: DataFrame, is_anchor: Column | str, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95, scale: int = 256) -> DataFrame:
@@ -200,10 +198,10 @@ def hard_negatives(rows: DataFrame, is_anchor: Column | str, positives: int = 5,
     the work grows with anchors times rows where boxes prune nothing. Per block a task returns at most `positives` or
     `positives * negatives` rows of an anchor.
     """
-    sound = whole_vectors(rows, scale)
-    parts = max(1, -(-sound.count() // BLOCK))
+    whole = whole_vectors(rows, scale)
+    parts = max(1, -(-whole.count() // BLOCK))
     # The id after the coordinate: equal vectors are dealt over slabs, too.
-    blocks = staged(sound.repartitionByRange(parts, "first", "vec_id").select(F.spark_partition_id().alias("block"), "vec_id", "label", "q"), "vector_blocks")
+    blocks = staged(whole.repartitionByRange(parts, "first", "vec_id").select(F.spark_partition_id().alias("block"), "vec_id", "label", "q"), "vector_blocks")
     chosen = blocks.where(is_anchor)
     n_blocks, n_anchors = blocks.select(F.max("block")).first()[0], chosen.count()
     groups = max(1, -(-n_anchors // ANCHORS))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import audit, decontaminate, disclosure, hostrules, linecrf, minhash, mixing, negatives, packing, quotes, repeats, toxicity
+from signalbox.llm import audit, decontaminate, disclosure, hostrules, linecrf, minhash, mixing, negatives, packing, pstable, quotes, repeats, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -97,3 +97,8 @@ def op12_audit(spark, sf):
 @query("op13_negatives", negatives.ORACLE)
 def op13_negatives(spark, sf):
     return negatives.hard_negatives(negatives.shifted_labels(_read(spark, sf, "embeddings")), "vec_id % 50 = 0")
+
+
+@query("op11_pstable", pstable.ORACLE)
+def op11_pstable(spark, sf):
+    return pstable.near_vectors(_read(spark, sf, "embeddings"), cosine=0.95)
