@@ -54,32 +54,6 @@ def is_whole(w: Column, mark: Column) -> Column:
     )
 
 
-# The plain parser refuses nesting beyond 1,000 levels and numbers beyond 1,000 digits. This one
-# reads the envelope only and skips everything else, however deep or long.
-_ANY_DEPTH = {"maxNestingDepth": "2000000000", "maxNumLen": "2000000000", "maxStringLen": "2000000000"}
-_ENVELOPE = (
-    "array<struct<jsonrpc:string,id:string,method:string,error:struct<code:bigint,message:string>,"
-    "params:struct<name:string>,_mark:bigint>>"
-)
-
-
-def wrapped_deep(payload: Column, mark: Column) -> Column:
-    """As `wrapped`, with the mark as an object of its own."""
-    text = F.concat(F.lit("["), payload, F.lit(',{"_mark":'), mark.cast("string"), F.lit("}]"))
-    return F.from_json(text, _ENVELOPE, _ANY_DEPTH)
-
-
-def whole_deep(w: Column, mark: Column) -> Column:
-    """The envelope in `wrapped_deep` as a message of its own, without the parts that were skipped.
-
-    Here an id of digits reads as a number and any other id as text; what is no text where text is
-    due reads as its JSON text, so that such a message meets the rules instead of passing by.
-    """
-    whole = (F.size(w) == 2) & (F.get(w, F.lit(1))["_mark"] == mark)
-    text = F.to_json(F.when(whole, F.get(w, F.lit(0))))
-    return F.try_parse_json(F.regexp_replace(text, r'(?<=[{,]"id":)"(-?\d+|true|false|null)"', "$1"))
-
-
 def starts_object(payload: Column) -> Column:
     return F.ltrim(payload, F.lit(JSON_SPACE)).startswith("{")
 

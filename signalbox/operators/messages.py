@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalbox import schemas as S
-from signalbox.functions import rpc
+from signalbox.functions import deep, rpc
 from signalbox.functions.plan import once
 from signalbox.session import prepare
 
@@ -18,8 +18,8 @@ def parse_messages(df: DataFrame, payload: str = "payload") -> DataFrame:
     counts as present. A line fails to parse if it is not one JSON object (or
     null), or if a field with a fixed type holds another type. Such lines are
     forwarded untouched by later stages and never logged. Nesting and long numbers
-    are no reason to fail: beyond what the plain
-    parser takes, `v` holds the envelope alone.
+    are no reason to fail, and change nothing in what is accepted: beyond what the plain
+    parser takes, `v` holds the envelope alone (see `deep`).
     """
     prepare(df.sparkSession)
     v, p = F.col("v"), F.col(payload)
@@ -40,13 +40,19 @@ def parse_messages(df: DataFrame, payload: str = "payload") -> DataFrame:
         .withColumn("_w", once(rpc.wrapped(p, F.col("_mark"))))
         .withColumn("v", F.when(rpc.is_whole(F.col("_w"), F.col("_mark")), rpc.part(F.col("_w"), "$[0]")))
         .withColumn("v", once(F.when(rpc.starts_object(p) | F.is_variant_null(v), v)))
-        .withColumn("_w", once(F.when(v.isNull() & rpc.starts_object(p), rpc.wrapped_deep(p, F.col("_mark")))))
-        .withColumn("v", once(F.coalesce(v, rpc.whole_deep(F.col("_w"), F.col("_mark")))))
+        .withColumn("_deep", once(F.when(v.isNull() & rpc.starts_object(p), deep.is_json(p, F.col("_mark")))))
+        .withColumn("_deep", once(F.when(F.col("_deep"), F.expr(deep.envelope(f"`{payload}`")))))
+        .withColumn("v", once(F.coalesce(v, F.try_parse_json(F.col("_deep.text")))))
         .withColumn("parse_error", once(~F.coalesce(v.isNotNull() & well_typed, F.lit(False))))
         .withColumn("v", once(F.when(~F.col("parse_error"), v)))
-        .withColumns({"msg_id": F.to_json(rpc.part(v, "$.id")), "method": rpc.text_at(v, "$.method")})
+        .withColumns(
+            {
+                "msg_id": F.when(v.isNotNull(), F.coalesce(F.col("_deep.id"), F.to_json(rpc.part(v, "$.id")))),
+                "method": rpc.text_at(v, "$.method"),
+            }
+        )
         .withColumn("method", rpc.unless_empty(F.col("method")))
-        .drop("_mark", "_w")
+        .drop("_mark", "_w", "_deep")
     )
 
 

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalbox.functions import rpc
+from signalbox.functions import deep, rpc
+from signalbox.functions.plan import once
 from signalbox.operators.skew import salted_join
 from signalbox.session import prepare
 
@@ -30,7 +31,8 @@ def tool_entries(responses: DataFrame) -> DataFrame:
     """One row per entry of `result.tools`: position, name, description, and what decodes.
 
     `named` entries are objects (or null) whose name is a string or absent;
-    `described` ones also have a string or absent description.
+    `described` ones also have a string or absent description. Listings and entries
+    beyond what the plain parser takes decode alike (see `deep`).
     """
     prepare(responses.sparkSession)
     tool = F.col("tool")
@@ -39,9 +41,13 @@ def tool_entries(responses: DataFrame) -> DataFrame:
     named = is_struct & rpc.is_text_or_absent(tool, "$.name")
     described = named & rpc.is_text_or_absent(tool, "$.description")
     return (
-        responses.withColumn(
+        responses.withColumn("_value", once(F.try_parse_json("payload")))
+        .withColumn("_text", once(F.when(F.col("_value").isNull(), F.expr(deep.fields("payload", ("result.tools",)))["result__tools"])))
+        .withColumn(
             "_tools",
-            F.try_variant_get(F.try_parse_json("payload"), "$.result.tools", "array<variant>"),
+            F.when(F.col("_value").isNotNull(), F.try_variant_get("_value", "$.result.tools", "array<variant>")).otherwise(
+                F.expr(f"transform({deep.tool_list('_text')}, x -> {deep.entry('x')})")
+            ),
         )
         .select(*kept, F.posexplode("_tools").alias("pos", "tool"))
         .select(
@@ -218,35 +224,33 @@ def rebuild_list_responses(responses: DataFrame, marks: DataFrame) -> DataFrame:
             F.collect_list(F.when(F.col("keep"), F.struct("named", "pos")))
         ).alias("_order"),
     )
-    v = F.col("_v")
-    texts = F.from_json(F.get_json_object("payload", "$.result.tools"), "array<string>")
-    tools = F.try_variant_get(v, "$.result.tools", "array<variant>")
+    v, p = F.col("_v"), F.col("payload")
+    texts = F.when(v.isNotNull(), F.from_json(F.get_json_object(p, "$.result.tools"), "array<string>")).otherwise(F.expr(deep.tool_list("_parts.result__tools")))
+    values = F.try_variant_get(v, "$.result.tools", "array<variant>")
 
     def entry(slot: Column) -> Column:
         at = slot["pos"].cast("int")
         value = F.get("_tools", at)
-        return F.when(rpc.is_object(value, "$"), F.get("_texts", at)).otherwise(F.to_json(value))
+        return F.when(v.isNull() | rpc.is_object(value, "$"), F.get("_texts", at)).otherwise(F.to_json(value))
 
     kept = F.when(F.size("_order") == 0, "null").otherwise(
         F.concat(F.lit("["), F.array_join(F.transform("_order", entry), ","), F.lit("]"))
     )
     fields = F.map_entries(F.try_variant_get(v, "$.result", "map<string,variant>"))
-    others = F.transform(
-        F.filter(fields, lambda e: e["key"] != "tools"),
-        lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("text")),
-    )
+    parsed = F.transform(fields, lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("text")))
+    others = F.filter(F.when(v.isNotNull(), parsed).otherwise(F.expr(deep.last_of_each(deep.members("_parts.result")))), lambda e: e["key"] != "tools")
     all_fields = F.array_sort(F.concat(others, F.array(F.struct(F.lit("tools").alias("key"), kept.alias("text")))))
     result = F.array_join(
         F.transform(all_fields, lambda e: F.concat(rpc.json_text(e["key"]), F.lit(":"), e["text"])), ","
     )
-    rebuilt = F.concat(
-        F.lit('{"jsonrpc":"2.0","id":'), F.to_json(rpc.part(v, "$.id")), F.lit(',"result":{'), result, F.lit("}}")
-    )
+    own_id = F.when(v.isNotNull(), F.to_json(rpc.part(v, "$.id"))).otherwise(F.col("_parts.id"))
+    rebuilt = F.concat(F.lit('{"jsonrpc":"2.0","id":'), own_id, F.lit(',"result":{'), result, F.lit("}}"))
     changed = F.coalesce("tools_pruned", F.lit(0)) > 0
     return (
         responses.join(per_listing, ["session_id", "seq"], "left")
-        .withColumn("_v", F.when(changed, F.try_parse_json("payload")))
-        .withColumns({"_texts": F.when(changed, texts), "_tools": tools})
+        .withColumn("_v", once(F.when(changed, F.try_parse_json("payload"))))
+        .withColumn("_parts", once(F.when(changed & v.isNull(), F.expr(deep.fields("payload", ("id", "result", "result.tools"))))))
+        .withColumns({"_texts": once(F.when(changed, texts)), "_tools": values})
         .withColumn("payload", F.when(changed, rebuilt).otherwise(F.col("payload")))
         .select(*responses.columns, F.when(changed, F.col("tools_pruned")).alias("tools_pruned"))
     )

@@ -1,15 +1,37 @@
+import itertools
+
+import pytest
 from pyspark.sql import functions as F
 
 from signalbox.operators import messages as P
 from signalbox.operators.policy import Rule, enforce_policy
 from tests.helpers import H2S, S2H, by_seq, call, raw
 
+FIELDS = {"method": '"m/x"', "id": "40", "error": '{"code":7}'}
+
+
+def _kind(present):
+    """The kind of a message by the fields it has: a method decides, then an error."""
+    if "method" in present:
+        return "request" if "id" in present else "notification"
+    return "error" if "error" in present else "response"
+
+
+#: Every presence of method, id and error.
+GRID = [
+    (
+        "{" + ",".join(f'"{k}":{FIELDS[k]}' for k in present) + "}",
+        False,
+        _kind(present),
+        "40" if "id" in present else None,
+        "m/x" if "method" in present else None,
+    )
+    for n in range(4)
+    for present in itertools.combinations(FIELDS, n)
+]
 CASES = [
     # payload, parse_error, kind, msg_id, method
-    ('{"id":71,"jsonrpc":"2.0","params":{"uri":"mem://a"},"method":"resources/read"}', False, "request", "71", "resources/read"),
-    ('{"method":"notifications/progress","jsonrpc":"2.0"}', False, "notification", None, "notifications/progress"),
-    ('{"result":{"contents":[]},"id":71,"jsonrpc":"2.0"}', False, "response", "71", None),
-    ('{"error":{"message":"no such resource","code":-32002},"id":71}', False, "error", "71", None),
+    *GRID,
     ("{half a line", True, None, None, None),
     ('{"id":null,"method":"m"}', False, "request", "null", "m"),
     ('{"id":"1","method":"m"}', False, "request", '"1"', "m"),
@@ -36,13 +58,75 @@ CASES = [
 ]
 
 
-def test_parse_and_kind(spark):
-    df = P.classify_kind(P.parse_messages(raw(spark, [(H2S, c[0]) for c in CASES])))
+MORE = [
+    ("{'id':1,'method':'tools/list'}", True, None, None, None),
+    ('{"id":1,"result":NaN}', True, None, None, None),
+    ('{"id":1,"result":-Infinity}', True, None, None, None),
+    ('{"id":01}', True, None, None, None),
+    ('{id:1}', True, None, None, None),
+    ('{"id":1,}', True, None, None, None),
+    ('{"id":1 "method":"m"}', True, None, None, None),
+    ('{"id":"\\x"}', True, None, None, None),
+    ('{"id":1}/* */', True, None, None, None),
+    ('{"\\u0069d":5,"meth\\u006fd":"a\\"b"}', False, "request", "5", 'a"b'),
+    ('{"id":"5","method":"m"}', False, "request", '"5"', "m"),
+    ('{"id":"true","method":"m"}', False, "request", '"true"', "m"),
+    ('{"id":true,"method":"m"}', False, "request", "true", "m"),
+    ('{"id":[1,{"a":"]"}],"method":"m"}', False, "request", '[1,{"a":"]"}]', "m"),
+    ('{"id":{},"method":"m"}', False, "request", "{}", "m"),
+    ('{"id":1,"method":["m"]}', True, None, None, None),
+    ('{"id":1,"error":[]}', True, None, None, None),
+    ('{"id":1,"error":{"code":5},"error":{"message":"x"}}', False, "error", "1", None),
+    ('{"id":1,"error":{"code":1.5},"error":null}', False, "response", "1", None),
+    ('{"id":1,"error":{"message":["x"]}}', True, None, None, None),
+    ('{"id":1,"error":{"data":{"code":"no"}}}', False, "error", "1", None),
+    ('{"params":{"id":7,"method":"no"},"id":1}', False, "response", "1", None),
+    ('{"id":1,"x":"a \\"id\\":2, {[","method":"m"}', False, "request", "1", "m"),
+    ('{"id": "a, b:c" ,\n"method" : "m" }', False, "request", '"a, b:c"', "m"),
+]
+
+
+@pytest.mark.parametrize("levels", [0, 1500, 30_000])
+def test_parse_and_kind(spark, levels):
+    """The same at every depth: objects get a first member that the plain parser refuses."""
+    cases = CASES + MORE
+    nested = '{"deep":' + "[" * levels + "]" * levels
+
+    def at_depth(text):
+        at = text.find("{")
+        if not levels or at < 0:
+            return text
+        rest = text[at + 1 :]
+        return text[:at] + nested + ("," if rest.strip()[:1] != "}" else "") + rest
+
+    df = P.classify_kind(P.parse_messages(raw(spark, [(H2S, at_depth(c[0])) for c in cases])))
     got = by_seq(df, "parse_error", "kind", "msg_id", "method")
-    for i, case in enumerate(CASES):
+    for i, case in enumerate(cases):
         assert got[i] == case[1:], case[0]
 
 
+@pytest.mark.parametrize("levels", [1, 1500])
+def test_listings_and_errors_at_any_depth(spark, levels):
+    inner = "[" * levels + "]" * levels
+    rows = [
+        f'{{"id":1,"result":{{"deep":{inner},"tools":[{{"name":"a"}}]}}}}',
+        f'{{"id":1,"result":{{"deep":{inner},"tools":{{"name":"a"}}}}}}',
+        f'{{"id":1,"result":{{"tools":[],"deep":{inner}}},"result":{{}}}}',
+        f'{{"id":1,"result":[{{"tools":[{inner}]}}]}}',
+        f'{{"id":1,"method":"tools/call","params":{{"name":"x","name":"run","arguments":{inner}}}}}',
+        f'{{"id":1,"method":"tools/call","params":{{"arguments":{{"name":"no","x":{inner}}}}}}}',
+        f'{{"id":1,"method":"tools/call","params":[{{"name":{inner}}}]}}',
+        f'{{"id":{"9" * 1200},"method":"tools/call","params":{{"name":"run"}}}}',
+    ]
+    got = by_seq(P.open_messages(raw(spark, [(S2H, r) for r in rows])), "lists_tools", "tool_name", "kind")
+    assert [got[i] for i in range(len(rows))] == [
+        (True, None, "response"), (False, None, "response"), (False, None, "response"), (False, None, "response"),
+        (False, "run", "request"), (False, None, "request"), (False, None, "request"), (False, "run", "request"),
+    ]
+    ids = by_seq(P.parse_messages(raw(spark, [(S2H, rows[-1])])), "msg_id")
+    assert ids[0] == "9" * 1200
+
+
 DEEP = [
     ("[" * 1005 + "]" * 1005, True),
     ("[" * 5000 + "]" * 5000, True),
@@ -63,7 +147,7 @@ def test_size_is_no_way_past_the_policy(spark):
     for i, (_, valid) in enumerate(DEEP):
         assert got[i] == ((False, "blocked", '"x"', "request") if valid else (True, "forwarded", None, None)), i
     assert got[len(DEEP)][0] and got[len(DEEP) + 1][0]
-    assert got[len(DEEP) + 2] == (False, "forwarded", None, "notification")
+    assert got[len(DEEP) + 2] == (True, "forwarded", None, None)
 
 
 def test_tool_name(spark):
@@ -111,4 +195,4 @@ def test_feed_view(spark):
 def test_filters_do_not_multiply_the_parse(spark):
     df = P.open_messages(raw(spark, [(H2S, call("a"))])).where((F.col("kind") == "request") & (F.col("tool_name") == "a"))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("parseJson") == 2  # the payload, and the envelope of one that is too deep
+    assert plan.count("parseJson") == 3  # the payload; of one that is too deep the id and the envelope

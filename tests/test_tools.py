@@ -64,7 +64,7 @@ def test_pairing_reads_its_events_once(spark):
     try:
         df = P.open_messages(raw(spark, [(H2S, list_request()), (S2H, list_response(named("a")))]))
         plan = J.correlate_lists(df)._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("ReusedExchange") == 1 and plan.count("parseJson") == 2
+        assert plan.count("ReusedExchange") == 1 and plan.count("parseJson") == 3
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
 
@@ -200,3 +200,28 @@ def test_short_ttl_at_every_offset(spark):
     rows = [(f"s{i}", "1", at(i * 0.000031 + d), d > 0, i * 2 + (d > 0)) for i in range(17) for d in (0, 0.0005)]
     df = spark.createDataFrame([(s, m, t, not late, q) for s, m, t, late, q in rows], "session_id string, msg_id string, ts timestamp, is_request boolean, seq bigint")
     assert J.match_events(df, timedelta(microseconds=511)).count() == 17
+
+
+@pytest.mark.parametrize("levels", [1, 1500])
+def test_listings_of_any_depth(spark, levels):
+    """Entries register and are pruned alike where the plain parser refuses the listing or one entry of it."""
+    inner = "[" * levels + "]" * levels
+    entries = [
+        f'{{"name":"a","description":"A","inputSchema":{inner}}}',
+        '{"name":"b","description":"B \\"x\\", [y]"}',
+        f'{{"inputSchema":{inner},"description":5,"name":"c"}}',
+        f"{inner}",
+        '"text, with {"',
+        '{"name":"\\u0064","description":null}',
+    ]
+    payload = f'{{"id":"7","result":{{"z":1,"tools":[{", ".join(entries)}],"a":{inner},"z":{{"k":2}}}}}}'
+    df = raw(spark, [(H2S, list_request('"7"')), (S2H, payload)])
+    listings = J.list_responses(P.open_messages(df))
+    got = sorted((r.pos, r.tool_name, r.description) for r in U.extract_tools(listings).collect())
+    assert got == [(0, "a", "A"), (1, "b", 'B "x", [y]'), (5, "d", "")]
+    usage = spark.createDataFrame([("b", 3), ("c", 1)], "tool_name string, cnt long")
+    marks = U.prune_tools(U.tool_entries(listings), usage, U.PruneConfig(unused_sessions=1))
+    row = U.rebuild_list_responses(listings, marks).first()
+    assert row.tools_pruned == 2
+    kept = [inner, '"text, with {"', entries[1], entries[2]]
+    assert row.payload == f'{{"jsonrpc":"2.0","id":"7","result":{{"a":{inner},"tools":[{",".join(kept)}],"z":{{"k":2}}}}}}'
