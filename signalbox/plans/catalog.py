@@ -26,6 +26,7 @@ from signalbox.session import work_dir
 from signalbox.sources import capture, tables
 from signalbox.sources import traffic as T
 from signalbox.streaming import live as L
+from signalbox.streaming.governed import GovernedStream, chain_input
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -940,7 +941,11 @@ def governed_messages(spark, sf):
         request_ids=lambda df: df.withColumn("id", T.request_id(F.col("seq"))),
         stage_dir=work_dir(spark, "governed"),
     )
-    return out.messages.select(
+    return _governed_columns(out.messages)
+
+
+def _governed_columns(messages: DataFrame) -> DataFrame:
+    return messages.select(
         "id",
         "session_id",
         "kind",
@@ -1056,14 +1061,14 @@ def screen_secrets(spark, sf):
 _STREAM_FILES = 3
 
 
-def _event_stream(spark, sf) -> DataFrame:
-    """The events as files of consecutive times, one per micro-batch, so that state is carried.
+def _event_parts(spark, sf) -> list[DataFrame]:
+    """The events cut by time into one part per micro-batch, so that state is carried.
 
-    Events without a time are in the first file.
+    Events without a time are in the first part.
     """
-    path = work_dir(spark, "event_files")
     events = spark.read.parquet(f"{sf}/events.parquet")
     low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    parts = []
     for i in range(_STREAM_FILES):
         part = events
         if low is None:
@@ -1074,8 +1079,17 @@ def _event_stream(spark, sf) -> DataFrame:
             if i + 1 < _STREAM_FILES:
                 before = F.col("ts") < F.lit(low + (high - low) * (i + 1) / _STREAM_FILES)
                 part = part.where(before | F.col("ts").isNull() if i == 0 else before)
+        parts.append(part)
+    return parts
+
+
+def _event_stream(spark, sf) -> DataFrame:
+    """The events as files of consecutive times, one per micro-batch."""
+    path = work_dir(spark, "event_files")
+    parts = _event_parts(spark, sf)
+    for part in parts:
         part.coalesce(1).write.mode("append").parquet(path)
-    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+    reader = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1)
     return T.typed_events(reader.parquet(path))
 
 
@@ -1094,6 +1108,24 @@ def stream_messages(spark, sf):
     return _log_columns(tables.read_messages(spark, f"{root}/messages"))
 
 
+@query("stream_governed", ORACLE["governed_messages"])  # T1: the whole chain, review and pruning included
+def stream_governed(spark, sf):
+    """Three parts of the events, each its own folder and start of the stream: two restarts from state."""
+    root, path = work_dir(spark, "stream_governed"), work_dir(spark, "governed_events")
+    usage = tables.staged(I.usage(spark, sf, 0), f"{root}/usage")
+    chain = GovernedStream(
+        root, R.Policy(tuple(I.RULES), scrub=True), I.REVIEW_TIMEOUT, I.PRUNE_TOP, usage, ttl=I.LIST_TTL,
+        request_ids=lambda df: df.withColumn("id", T.request_id(F.col("seq"))),
+    )
+    parts = _event_parts(spark, sf)
+    for n, part in enumerate(parts):
+        part.write.parquet(f"{path}/part={n}")
+        events = T.typed_events(spark.readStream.schema(parts[0].schema).parquet(f"{path}/part=*"))
+        _finish(chain.start(chain_input(T.traffic(events), T.decisions(events)), f"{root}/checkpoint", once=True))
+    chain.finish(spark)
+    return _governed_columns(chain.messages(spark))
+
+
 @query(
     "fan_out",  # T3
     O.sql(

@@ -10,7 +10,10 @@ from signalbox.operators.policy import Policy, Rule
 from signalbox.plans import catalog
 from signalbox.plans.governed import screen
 from signalbox.sources import tables
+from signalbox.operators.tools import PruneConfig
+from signalbox.plans.governed import govern
 from signalbox.streaming import live as L
+from signalbox.streaming.governed import GovernedStream, chain_input
 from tests.helpers import H2S, S2H, at, by_seq, call, list_request, list_response, named, raw
 
 POLICY = Policy((Rule("no", "deny", tools=("run_shell",)), Rule("au", "audit", ("tools/call",))), scrub=True)
@@ -163,3 +166,84 @@ def test_event_stream_has_every_event(spark, tmp_path):
         out = spark.read.schema("event_id long").parquet(f"{tmp_path}/{name}/out")
         want = spark.read.parquet(f"{tmp_path}/{name}/events.parquet")
         assert sorted(r.event_id for r in out.collect()) == sorted(r.event_id for r in want.collect())
+
+
+REVIEWED = Policy((Rule("hold-lists", "require_approval", ("tools/list",)), Rule("hold", "require_approval", tools=("rm",)), Rule("no", "deny", tools=("run_shell",))), scrub=True)
+
+
+def _chain_rows():
+    """(arrival, row) of messages and (arrival, row) of decisions: decided, denied, timed out, late and repeated."""
+    rows, made = [], []
+
+    def add(arrival, seconds, direction, payload, session="s1"):
+        rows.append((arrival, (len(rows), at(seconds), session, direction, payload)))
+        return len(rows) - 1
+
+    def decide(arrival, seq, seconds, approved, session="s1"):
+        made.append((arrival, (f"{session}-{seq}", at(seconds), approved, len(made))))
+
+    listing = list_response(named("a", "b", "c"))
+    first = add(0, 0, H2S, list_request())
+    add(0, 20, S2H, listing)  # its request is approved after it came
+    decide(1, first, 30, True)
+    denied = add(0, 5, H2S, list_request(2))
+    add(1, 25, S2H, list_response(named("b", "d"), 2))  # its request is denied: no listing
+    decide(1, denied, 24, False)
+    decide(1, denied, 26, True)
+    call_seq = add(1, 40, H2S, call("rm", 3))
+    decide(2, call_seq, 101, True)  # after the deadline
+    other = add(2, 35, H2S, call("rm", 4))  # out of order
+    decide(2, other, 95, True)  # exactly at the deadline
+    add(0, 1, H2S, call("run_shell", 5))
+    add(1, 41, H2S, "no json")
+    add(1, 50, S2H, '{"id":9,"result":"mail a@b.com"}')
+    late_list = add(1, 60, H2S, list_request(6), "s2")
+    decide(2, late_list, 61, True, "s2")
+    add(2, 70, S2H, list_response(named("a", "x"), 6), "s2")
+    add(2, 72, S2H, list_response(named("a", "x"), 6), "s2")  # its request is used up
+    end = add(2, 400, H2S, list_request(7))
+    add(2, 401, S2H, list_response(named("c"), 7))
+    decide(2, end, 402, True)
+    rows.append((1, (len(rows), None, "s1", H2S, call("rm", 8))))
+    return rows, made
+
+
+def test_governed_stream_equals_the_batch_chain(spark, tmp_path):
+    rows, made = _chain_rows()
+    usage = spark.createDataFrame([("a", 5), ("b", 1)], "tool_name string, cnt long")
+    prune = PruneConfig(unused_sessions=1)
+    raws = lambda n=None: spark.createDataFrame([r for a, r in rows if n in (None, a)], S.RAW_MESSAGES)
+    decided = lambda n=None: spark.createDataFrame([d for a, d in made if n in (None, a)], S.DECISIONS)
+    batch = govern(raws(), REVIEWED, decided(), timedelta(seconds=60), prune, usage, stage_dir=str(tmp_path / "batch"))
+    root, src = str(tmp_path / "chain"), str(tmp_path / "src")
+
+    def chain():
+        return GovernedStream(root, REVIEWED, timedelta(seconds=60), prune, usage, lateness=timedelta(seconds=40))
+
+    def flat(df, *cols):
+        return sorted(repr([r[c] for c in cols]) for r in df.collect())
+
+    columns = [f.name for f in S.MESSAGES]
+    for n in range(3):
+        inputs = chain_input(raws(n), decided(n))
+        feed(inputs, src, n)
+        chain().start(source(spark, src, inputs.schema), str(tmp_path / "ckpt"), once=True).awaitTermination()
+        if n == 1:
+            early = chain().messages(spark).count()
+            chain().take(inputs, 1)  # a batch that is run again replaces itself
+            assert chain().messages(spark).count() == early
+            # What nothing holds is logged at once, the rest is not there yet.
+            assert 0 < early < P.to_log_rows(screen(raws(0).union(raws(1)), REVIEWED)).count()
+    chain().finish(spark)
+    assert flat(chain().messages(spark), *columns) == flat(batch.messages, *columns)
+    assert flat(chain().approvals(spark), "id", "decision", "decided_at") == flat(batch.approvals, "id", "decision", "decided_at")
+    assert flat(chain().registry(spark), *(f.name for f in S.TOOL_REGISTRY)) == flat(batch.registry, *(f.name for f in S.TOOL_REGISTRY))
+    assert flat(chain().replies(spark), "seq", "payload") == flat(batch.replies, "seq", "payload")
+    assert {r.tools_pruned for r in batch.messages.collect()} == {1, None}
+    assert {r.decision for r in batch.approvals.collect()} == {"approved", "denied", "timeout"}
+
+
+def test_governed_stream_without_input(spark, tmp_path):
+    chain = GovernedStream(str(tmp_path / "none"), REVIEWED)
+    chain.finish(spark)
+    assert chain.messages(spark).count() == chain.approvals(spark).count() == chain.registry(spark).count() == 0
