@@ -8,12 +8,14 @@ Constructs only Java knows are refused, so that a pattern means one thing.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable
 
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,8 +154,26 @@ def _char_class(text: str) -> str:
     return head + "".join(out) + "]"
 
 
+#: From so many patterns on, one expression compiles all of them; if it fails, they are tried one by one to name the bad one.
+_MANY = 20
+
+
+def _all_compile(spark: SparkSession, java: list[str]) -> bool:
+    every = F.from_json(F.lit(json.dumps(java)), "array<string>")
+    try:
+        spark.range(1).select(F.size(F.filter(every, lambda p: F.rlike(F.lit(""), p)))).collect()
+    except PySparkException:
+        return False
+    return True
+
+
 def checked(spark: SparkSession, patterns: Iterable[str]) -> list[str]:
     """Translate and compile on the driver, before any job starts."""
+    patterns = list(patterns)
+    if len(patterns) >= _MANY:
+        out = [to_java(pattern) for pattern in patterns]
+        if _all_compile(spark, out):
+            return out
     compiler = spark._jvm.java.util.regex.Pattern
     out = []
     for pattern in patterns:
@@ -167,6 +187,49 @@ def checked(spark: SparkSession, patterns: Iterable[str]) -> list[str]:
     return out
 
 
+def required_literals(pattern: str) -> list[str]:
+    """Texts that every match of `pattern` contains, as far as they are easily seen.
+
+    Seen are plain characters and escapes in a row outside of groups, in a pattern without alternatives and flags.
+    """
+    runs, run, depth, last = [], "", 0, ""
+    for tok in _TOKEN.finditer(pattern):
+        text, kind = tok.group(0), tok.lastgroup
+        char = None
+        if kind == "group":
+            if not re.match(r"\(\?(?::|P?<\w)", text):
+                return []
+            depth += 1
+        elif kind == "char" and text == "(":
+            depth += 1
+        elif kind == "char" and text == ")":
+            depth -= 1
+        elif kind == "char" and text == "|":
+            if depth == 0:
+                return []
+        elif depth:
+            pass
+        elif kind == "repeat":
+            if last and _times(text)[0] == 0:
+                run = run[: -len(last)]
+        elif kind == "quoted":
+            run, last = run + tok.group("quoted"), tok.group("quoted")[-1:]
+            continue
+        elif kind == "char" and text not in "^$.":
+            char = text
+        elif kind == "escape" and len(text) == 2 and not text[1].isalnum():
+            char = text[1]
+        elif text in ("^", "$", r"\b", r"\B", r"\A", r"\z"):
+            last = ""
+            continue
+        if char is not None:
+            run, last = run + char, char
+            continue
+        runs.append(run)
+        run, last = "", ""
+    return [r for r in dict.fromkeys([*runs, run]) if r]
+
+
 _BROAD = re.compile(r"\.|\[\^|\\[SDW]")
 _MOST_COPIES = 64
 

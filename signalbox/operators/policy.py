@@ -19,6 +19,7 @@ from signalbox import schemas as S
 from signalbox.functions.plan import once
 from signalbox.functions.regex import PatternError, checked, linear_match, needs_linear_matcher
 from signalbox.operators.messages import in_chain
+from signalbox.operators.rule_index import RuleIndex, candidate_rules, literal_array
 
 
 @dataclass(frozen=True)
@@ -59,6 +60,18 @@ def java_patterns(rule: Rule) -> list[str]:
         raise PatternError(f"rule {rule.name!r}: {exc}") from None
 
 
+def _all_java_patterns(rules: list[Rule]) -> list[list[str]]:
+    """`java_patterns` of many rules: each pattern that occurs is compiled once."""
+    distinct = list(dict.fromkeys(p for rule in rules for p in rule.patterns))
+    try:
+        known = dict(zip(distinct, checked(SparkSession.getActiveSession(), distinct), strict=True))
+    except PatternError:
+        for rule in rules:
+            java_patterns(rule)  # names the rule
+        raise
+    return [[known[p] for p in rule.patterns] for rule in rules]
+
+
 def _quote(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -168,7 +181,7 @@ def evaluate_policy(df: DataFrame, rules: list[Rule], payload: str = "payload")
 
 
 # A rule table is configuration, but may be long: so many rules are read and tested at a time.
-RULES_PER_PART = 1000
+RULES_PER_PART = 50_000
 
 
 def read_rule_parts(rules_df: DataFrame, size: int) -> Iterator[list[Rule]]:
@@ -198,10 +211,10 @@ def evaluate_policy_table(
 ) -> DataFrame:
     """`evaluate_policy` with the rules as a table, in order of `ord` (see `read_rule_parts`).
 
-    The table is read in bounded parts when the plan is built, and every rule
-    becomes a literal condition: patterns compile once per task, cheap tests stop
-    before them, and messages are neither multiplied nor shuffled. The size of a
-    part changes the plan, never the result.
+    The table is read in bounded parts when the plan is built. An index finds each
+    message's candidates (see `rule_index`), so its cost follows the rules that can match
+    rather than all rules; messages are neither multiplied nor shuffled. The size
+    of a part changes the plan, never the result.
     """
     none = F.lit(None).cast("string")
     out = df.withColumns(
@@ -226,12 +239,22 @@ def evaluate_policy_table(
 
 def _evaluate_part(df: DataFrame, rules: list[Rule], payload: str) -> DataFrame:
     """Add what these rules decide to what the rules before them decided."""
-    names = F.lit([r.name for r in rules])
-    actions = F.lit([r.action for r in rules])
-    df, linear = _with_linear(df, rules, payload)
+    names = literal_array([r.name for r in rules], "string")
+    actions = literal_array([r.action for r in rules], "string")
+    # Rules with a pattern for the linear matcher are tested one by one, as in `evaluate_policy`.
+    slow = [i for i, r in enumerate(rules) if any(needs_linear_matcher(p) for p in r.patterns)]
+    df, linear = _with_linear(df, [rules[i] for i in slow], payload)
     drop = [name for own in linear for name in own.values()]
-    cases = (f"CASE WHEN {rule_sql(r, payload, linear[i])} THEN {i} END" for i, r in enumerate(rules))
-    hits = F.expr(f"array({', '.join(cases)})")
+    cases = (f"CASE WHEN {rule_sql(rules[i], payload, own)} THEN {i} END" for i, own in zip(slow, linear, strict=True))
+    others = [r for i, r in enumerate(rules) if i not in set(slow)]
+    places = literal_array([i for i in range(len(rules)) if i not in set(slow)], "int")
+    patterns = literal_array(_all_java_patterns(others), "array<string>")
+    index = RuleIndex([(r.direction, r.methods, r.tools, r.patterns) for r in others])
+    text = F.col(payload)
+    # A rule's patterns are met if no candidate's pattern is missing; a null text has none.
+    met = F.filter("_candidates", lambda i: F.coalesce(F.forall(F.get(patterns, i), lambda p: F.rlike(text, p)), F.lit(False)))
+    found = F.transform(met, lambda i: F.get(places, i))
+    hits = F.array_sort(F.concat(found, F.array_compact(F.expr(f"array({', '.join(cases)})")))) if slow else found
 
     def having(action: str) -> Column:
         return F.filter("_matched", lambda i: F.get(actions, i) == action)
@@ -242,10 +265,8 @@ def _evaluate_part(df: DataFrame, rules: list[Rule], payload: str) -> DataFrame:
     approval = F.get(names, F.get(approvals, F.size(approvals) - 1))
     none_denied = F.col("deny_rule").isNull()
     return (
-        df.withColumn(
-            "_matched",
-            once(F.when(_active(df), F.array_compact(hits)).otherwise(F.array().cast("array<int>"))),
-        )
+        df.withColumn("_candidates", candidate_rules(index, _active(df), text))
+        .withColumn("_matched", once(F.when(_active(df), hits).otherwise(F.array().cast("array<int>"))))
         .withColumn("_deny", F.get(having(S.DENY), F.lit(0)))
         .withColumns(
             {
@@ -259,7 +280,7 @@ def _evaluate_part(df: DataFrame, rules: list[Rule], payload: str) -> DataFrame:
                 ),
             }
         )
-        .drop("_matched", "_deny", *drop)
+        .drop("_candidates", "_matched", "_deny", *drop)
     )
 
 

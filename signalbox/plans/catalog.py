@@ -349,6 +349,31 @@ def evaluate_policy_table(spark, sf):
     )
 
 
+@query(
+    "evaluate_policy_many_rules",  # R6: a rule per customer, so that rules grow with the tables, too
+    O.sql(
+        """SELECT seq, CASE WHEN hit THEN 'c-' || k END AS rules, CASE WHEN NOT hit THEN NULL WHEN k % 3 = 0 THEN 'deny' ELSE 'audit' END AS policy_action
+    FROM (SELECT seq, k, coalesce(method = 'tools/call' AND tool_name = CASE WHEN k % 2 = 0 THEN 'delete_file' ELSE 'write_file' END
+        AND k IN (SELECT c_custkey FROM customer), FALSE) AS hit FROM traffic)""",
+        "traffic",
+    ),
+)
+def evaluate_policy_many_rules(spark, sf):
+    key = F.col("c_custkey")
+    text = "array<string>"
+    rules = T.table(spark, sf, "customer").select(
+        key.cast("int").alias("ord"),
+        F.concat(F.lit("c-"), key).alias("name"),
+        F.when(key % 3 == 0, S.DENY).otherwise(S.AUDIT).alias("action"),
+        F.array(F.lit("tools/call")).alias("methods"),
+        F.when(key % 2 == 0, F.array(F.lit("delete_file"))).otherwise(F.array(F.lit("write_file"))).cast(text).alias("tools"),
+        F.lit("").alias("direction"),
+        F.array(F.concat(F.lit(r'"k":\s'), key, F.lit(r"\b"))).alias("patterns"),
+    )
+    found = R.evaluate_policy_table(I.opened(spark, sf), rules)
+    return found.select("seq", F.array_join("matched_rules", ",").alias("rules"), "policy_action")
+
+
 @query(
     "deep_messages",  # P1, R3: nesting beyond what a plain parser takes
     O.sql(

@@ -1,43 +1,102 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from signalbox import schemas as S
-from signalbox.functions.regex import PatternError, needs_linear_matcher, to_java
+from signalbox.functions.regex import PatternError, checked, needs_linear_matcher, required_literals, to_java
 from signalbox.operators import chain as C
 from signalbox.operators import messages as P
 from signalbox.operators import policy as R
 from signalbox.operators.policy import Rule
-from tests.helpers import H2S, S2H, by_seq, call, raw
-
-EXAMPLE = [
-    Rule("keep-keys-private", "deny", ("tools/call",), ("save_note", "put_object"), patterns=(r"\.pem",)),
-    Rule("no-terminals", "deny", ("tools/call",), ("open_terminal", "start_job")),
-    Rule("ask-before-erasing", "require_approval", ("tools/call",), ("erase_note", "empty_bin")),
-    Rule("watch-calls", "audit", ("tools/call",)),
-]
-
+from signalbox.operators.rule_index import RuleIndex
+from tests.helpers import H2S, S2H, by_seq, call, list_request, raw
 
 def evaluated(spark, rules, rows, **kw):
     df = P.open_messages(raw(spark, rows))
     return by_seq(R.evaluate_policy(df, rules), "policy_action", "matched_rules", "deny_rule", "approval_rule")
 
 
-def test_example_rules(spark):
-    rows = [
-        (H2S, call("save_note", args='{"path":"/home/k.pem"}')),
-        (H2S, call("save_note", args='{"path":"/home/main"}')),
-        (H2S, call("open_terminal")),
-        (H2S, call("erase_note")),
-        (H2S, '{"id":1,"method":"tools/list"}'),
-        (H2S, "no message tools/call"),
+def _meets(rule, direction, method, tool, payload):
+    """What a rule means, said anew: all of its set parts hold."""
+    return (
+        rule.direction in ("", direction)
+        and (not rule.methods or (method or "") in rule.methods)
+        and (not rule.tools or tool in rule.tools)
+        and all(re.search(p, payload) for p in rule.patterns)
+    )
+
+
+def _decided(rules):
+    denied = next((i for i, r in enumerate(rules) if r.action == "deny"), None)
+    held = [r.name for r in rules[:denied] if r.action == "require_approval"]
+    actions = {r.action for r in rules}
+    action = next((a for a in ("deny", "require_approval", "audit") if a in actions), None)
+    return action, [r.name for r in rules] or None, None if denied is None else rules[denied].name, held[-1] if held else None
+
+
+def _random_rules(rnd, n):
+    words = ["alpha", "be.ta", "ga(m)", '"k": 1', '"k": 17', "é"]
+    pattern = lambda: rnd.choice([re.escape(rnd.choice(words)), rnd.choice(words[:1]) + r"\d*", r"(?:be|ga)", r"\d{3}", "a?lph", r"k\": 1\b", "(?i)ALPHA", "x|alpha"])
+    some = lambda values, most: tuple(rnd.sample(values, rnd.randint(0, most)))
+    return [
+        Rule(
+            f"r{i}",
+            rnd.choice(["deny", "require_approval", "audit", "other"]),
+            some(["tools/call", "tools/list", ""], 2),
+            some(["t1", "t2", "t3"], 2),
+            rnd.choice(["", "", H2S, S2H]),
+            tuple(pattern() for _ in range(rnd.randint(0, 2))),
+        )
+        for i in range(n)
     ]
-    got = evaluated(spark, EXAMPLE, rows)
-    assert got[0] == ("deny", ["keep-keys-private", "watch-calls"], "keep-keys-private", None)
-    assert got[1] == ("audit", ["watch-calls"], None, None)
-    assert got[2] == ("deny", ["no-terminals", "watch-calls"], "no-terminals", None)
-    assert got[3] == ("require_approval", ["ask-before-erasing", "watch-calls"], None, "ask-before-erasing")
-    assert got[4] == (None, None, None, None)
-    assert got[5] == (None, None, None, None)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rules_mean_what_they_say(spark, seed):
+    """Random rules in both forms against their meaning; the table in parts, with and without the automaton."""
+    rnd = random.Random(seed)
+    rules = _random_rules(rnd, 60)
+    texts = ["alpha1", "be.ta ga(m)", '{\\"k\\": 17}', '\\"k\\": 1 123', "é", "ALPHA", "none"]
+    rows = [(rnd.choice([H2S, S2H]), call(rnd.choice(["t1", "t2", "t4", ""]), args=f'"{rnd.choice(texts)}"')) for _ in range(40)]
+    rows += [(H2S, list_request()), (S2H, '{"id":1,"result":"alpha"}'), (S2H, "no json alpha")]
+    df = P.open_messages(raw(spark, rows))
+    known = {r.seq: r for r in df.collect()}
+    want = {
+        i: (None, None, None, None) if m.parse_error else _decided([r for r in rules if _meets(r, m.direction, m.method, m.tool_name, m.payload)])
+        for i, m in known.items()
+    }
+    columns = ("policy_action", "matched_rules", "deny_rule", "approval_rule")
+    assert by_seq(R.evaluate_policy(df, rules), *columns) == want
+    listed = [(o, r.name, r.action, list(r.methods), list(r.tools), r.direction, list(r.patterns)) for o, r in enumerate(rules)]
+    table = spark.createDataFrame(listed, S.RULES)
+    for size in (1000, 25):
+        assert by_seq(R.evaluate_policy_table(df, table, part_rules=size), *columns) == want, size
+    index = RuleIndex([(r.direction, r.methods, r.tools, r.patterns) for r in rules])
+    match = index.matcher()
+    one_by_one = {i: match(m.direction, m.method, m.tool_name, m.payload) for i, m in known.items()}
+    assert max(map(len, one_by_one.values())) < len(rules) / 2
+    for i, m in known.items():
+        hits = {n for n, r in enumerate(rules) if _meets(r, m.direction, m.method, m.tool_name, m.payload)}
+        assert hits <= set(one_by_one[i]) and one_by_one[i] == sorted(set(one_by_one[i]))
+
+
+def test_required_literals():
+    cases = {
+        "abc": ["abc"], "ab?c": ["a", "c"], "ab+c": ["ab", "c"], "a|b": [], "(a|b)cd": ["cd"], "(?i)ab": [], r"\.pem$": [".pem"], "ab{0,2}": ["a"],
+        r"\Qa.b\E+c": ["a.b", "c"], "[ab]cd.e": ["cd", "e"], "": [], r"\bkey\b": ["key"], r"a\dbc": ["a", "bc"], "x*": [], "(?:ab)?cd": ["cd"],
+    }
+    assert {p: required_literals(p) for p in cases} == cases
+
+
+def test_many_patterns_are_compiled_at_once(spark):
+    good = [rf"k{i}\b" for i in range(40)]
+    assert checked(spark, good) == [to_java(p) for p in good]
+    rules = [Rule(f"r{i}", "audit", patterns=(p,)) for i, p in enumerate([*good, "(unclosed"])]
+    table = spark.createDataFrame([(i, r.name, r.action, [], [], "", list(r.patterns)) for i, r in enumerate(rules)], S.RULES)
+    with pytest.raises(PatternError, match="r40"):
+        R.evaluate_policy_table(P.open_messages(raw(spark, [(H2S, call("t"))])), table)
 
 
 ORDERINGS = [
@@ -102,21 +161,24 @@ def test_direction_method_and_tool(spark):
 
 
 def test_enforcement_and_replies(spark):
-    rows = [(H2S, call("open_terminal", id_='"a1"')), (H2S, call("erase_note")), (H2S, call("read_file")),
-            (H2S, '{"method":"tools/call","params":{"name":"start_job"}}'), (H2S, "garbage")]
-    df = R.enforce_policy(P.open_messages(raw(spark, rows)), EXAMPLE)
+    """Each action's effect on status, annotations, reply and counts; a notification gets no reply."""
+    rules = [Rule("odd", "deny", patterns=("[13579]#",)), Rule("three", "require_approval", patterns=("[369]#",)), Rule("seen", "audit", ("n/x",))]
+    rows = [(H2S, f'{{"id":"i{n}","method":"n/x","params":"{n}#"}}') for n in range(10)]
+    rows += [(H2S, '{"method":"n/x","params":"1#"}'), (H2S, "1#")]
+    df = R.enforce_policy(P.open_messages(raw(spark, rows)), rules)
     got = by_seq(df, "status", "audit", "policy_rule", "block_reason")
-    assert got[0] == ("blocked", False, "no-terminals", 'blocked by policy rule "no-terminals"')
-    assert got[1] == ("forwarded", False, "ask-before-erasing", None)
-    assert got[2] == ("forwarded", True, None, None)
-    assert got[3][0] == "blocked"
-    assert got[4] == ("forwarded", False, None, None)
-    replies = C.block_responses(df).collect()  # none for the notification
-    assert [(r.direction, r.payload) for r in replies] == [
-        (S2H, '{"jsonrpc":"2.0","id":"a1","error":{"code":-32600,"message":"blocked by policy rule \\"no-terminals\\""}}')
-    ]
+    for n in range(10):
+        if n % 2:
+            assert got[n] == ("blocked", False, "odd", 'blocked by policy rule "odd"')
+        else:
+            assert got[n] == ("forwarded", n != 6, "three" if n == 6 else None, None)
+    assert got[10][0] == "blocked" and got[11] == ("forwarded", False, None, None)
+    replies = {r.seq: (r.direction, r.payload) for r in C.block_responses(df).collect()}
+    assert replies == {
+        n: (S2H, f'{{"jsonrpc":"2.0","id":"i{n}","error":{{"code":-32600,"message":"blocked by policy rule \\"odd\\""}}}}') for n in (1, 3, 5, 7, 9)
+    }
     hits = {(r.rule_name, r.policy_action): r.hits for r in R.rule_hit_counts(df).collect()}
-    assert hits[("watch-calls", "deny")] == 2 and hits[("watch-calls", "audit")] == 1
+    assert hits == {("odd", "deny"): 6, ("three", "deny"): 2, ("three", "require_approval"): 1, ("seen", "deny"): 6, ("seen", "require_approval"): 1, ("seen", "audit"): 4}
 
 
 def test_stages_stop_at_first_block_or_drop(spark):
