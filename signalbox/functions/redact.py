@@ -15,7 +15,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalbox.functions.plan import once
-from signalbox.functions.regex import PatternError, checked, is_context_free, needs_linear_matcher
+from signalbox.functions.regex import (
+    PatternError,
+    checked,
+    is_context_free,
+    linear_count,
+    linear_count_each,
+    linear_match,
+    linear_replace,
+    linear_replace_each,
+    needs_linear_matcher,
+)
 
 log = logging.getLogger(__name__)
 
@@ -32,6 +42,8 @@ class Pattern:
     raw: str | None = None
     # The mark it leaves is itself a hit, so that equal text may have hits.
     finds_own_mark: bool = False
+    # As written, where only a linear-time matcher can be trusted with it.
+    linear: str | None = None
 
 
 # What counts as a secret or personal data, in order of application.
@@ -64,7 +76,7 @@ DEFAULT_PATTERNS = tuple(
 
 
 def build_patterns(spark: SparkSession, custom=()) -> tuple[Pattern, ...]:
-    """Defaults followed by custom patterns; an invalid one is skipped, one that may not end in time an error."""
+    """Defaults followed by custom patterns; an invalid one is skipped, a hard one goes to the linear-time matcher."""
     out = list(DEFAULT_PATTERNS)
     for c in custom:
         try:
@@ -72,12 +84,10 @@ def build_patterns(spark: SparkSession, custom=()) -> tuple[Pattern, ...]:
         except PatternError as exc:
             log.warning("custom pattern %r skipped: %s", c.name, exc)
             continue
-        if needs_linear_matcher(c.pattern):
-            # Skipping it would leak what it is meant to hide.
-            raise PatternError(f"custom pattern {c.name!r}: {c.pattern!r} repeats in a way that may not end in time")
+        hard = c.pattern if needs_linear_matcher(c.pattern) else None
         own = spark._jvm.java.util.regex.Pattern.compile(java).matcher(mark(c.label)).find()
-        raw = java if is_context_free(c.pattern) else None
-        out.append(Pattern(c.label, java, raw=raw, finds_own_mark=own))
+        raw = java if is_context_free(c.pattern) and not hard else None
+        out.append(Pattern(c.label, java, raw=raw, finds_own_mark=own, linear=hard))
     return tuple(out)
 
 
@@ -92,6 +102,8 @@ def replacement(label: str) -> str:
 
 def _hit(text: Column, pattern: Pattern) -> Column:
     """The pattern is found; literal tests first, they are much cheaper."""
+    if pattern.linear:
+        return linear_match(pattern.linear, text)
     tests = [text.contains(h) for h in pattern.hints] + [text.rlike(pattern.java)]
     return reduce(lambda a, b: a & b, tests)
 
@@ -103,18 +115,22 @@ def redact_steps(
     counts = []
     for i, pattern in enumerate(patterns):
         hit, count = "_hit", f"_n{i}"
-        test = _hit(F.col(text), pattern)
+        # A matcher outside of Spark sees no text of rows that are not active.
+        seen = F.col(text) if active is None or not pattern.linear else F.when(active, F.col(text))
+        test = _hit(seen, pattern)
         if active is not None:
             test = active & test
-        df = df.withColumn(hit, once(test)).withColumns(
+        df = df.withColumn(hit, once(test))
+        found = F.when(F.col(hit), F.col(text))
+        if pattern.linear:
+            number, cleaned = linear_count(pattern.linear, found), linear_replace(pattern.linear, mark(pattern.label), found)
+        else:
+            number = F.regexp_count(F.col(text), F.lit(pattern.java))
+            cleaned = F.regexp_replace(F.col(text), pattern.java, replacement(pattern.label))
+        df = df.withColumns(
             {
-                count: F.when(
-                    F.col(hit), F.regexp_count(F.col(text), F.lit(pattern.java))
-                ).otherwise(0),
-                text: F.when(
-                    F.col(hit),
-                    F.regexp_replace(F.col(text), pattern.java, replacement(pattern.label)),
-                ).otherwise(F.col(text)),
+                count: F.when(F.col(hit), number).otherwise(0),
+                text: F.when(F.col(hit), cleaned).otherwise(F.col(text)),
             }
         )
         counts.append(count)
@@ -128,11 +144,15 @@ def redact_value_steps(
     counts = []
     for i, pattern in enumerate(patterns):
         count = f"_n{i}"
-        df = df.withColumn("_next", once(F.transform(values, _cleaner(pattern))))
+        if pattern.linear:
+            cleaned = linear_replace_each(pattern.linear, mark(pattern.label), F.col(values))
+        else:
+            cleaned = F.transform(values, _cleaner(pattern))
+        df = df.withColumn("_next", once(cleaned))
         touched = F.lit(True) if pattern.finds_own_mark else ~F.col(values).eqNullSafe(F.col("_next"))
         df = df.withColumns(
             {
-                count: F.when(touched, _tally(values, pattern)).otherwise(0),
+                count: F.when(touched, linear_count_each(pattern.linear, F.when(touched, F.col(values))) if pattern.linear else _tally(values, pattern)).otherwise(0),
                 values: F.col("_next"),
             }
         )

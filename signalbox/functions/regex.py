@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -230,7 +231,6 @@ def required_literals(pattern: str) -> list[str]:
     return [r for r in dict.fromkeys([*runs, run]) if r]
 
 
-_BROAD = re.compile(r"\.|\[\^|\\[SDW]")
 _MOST_COPIES = 64
 
 
@@ -242,14 +242,125 @@ def _times(repeat: str) -> tuple[int, float]:
     return int(low), int(high) if high else (float("inf") if comma else int(low))
 
 
+@dataclass(frozen=True)
+class _Piece:
+    """One element of a pattern in a row: the characters it takes, and whether it must and how long it may."""
+
+    chars: frozenset[int]
+    needed: bool
+    unlimited: bool
+
+
+#: ASCII, and one number for all other characters.
+_OTHERS = 128
+_ALL = frozenset(range(_OTHERS + 1))
+
+
+def _chars(token: str, folded: bool) -> frozenset[int]:
+    """The characters that a class, an escape or a character takes; all of them if that is not easily seen."""
+    if re.search(r"\[:|\\[pPxabfv0-9Q]|&&", token) or token == ".":
+        return _ALL
+    if token.startswith("\\") and token[1].isalpha() and token[1] not in "dDsSwWnrt":
+        return _ALL
+    try:
+        found = re.compile(token if token[0] in "\\[" else re.escape(token), re.A | (re.I if folded else 0))
+    except re.error:
+        return _ALL
+    taken = {i for i in range(_OTHERS) if found.fullmatch(chr(i))}
+    if ord(token[0]) >= _OTHERS or any(found.fullmatch(c) for c in "\x85é中🙂") or (token[0] == "[" and not token.isascii()) or (folded and taken & {ord("k"), ord("s")}):
+        taken.add(_OTHERS)
+    return frozenset(taken)
+
+
+def _rows(pattern: str) -> list[list[_Piece | None]] | None:
+    """The alternatives of a pattern as pieces in a row, None for a test without width; None for a shape not looked into.
+
+    Plain groups are read as what is in them; a group that is repeated or has alternatives is one piece of any characters.
+    """
+    folded = bool(re.search(r"\(\?[a-zA-Z]*i", pattern))
+    rows: list[list[_Piece | None]] = [[]]
+    opened: list[dict] = []  # open groups: where they began, and whether they have alternatives
+    last: int | None = None  # from here on the row is what a repeat would repeat
+    for tok in _TOKEN.finditer(pattern):
+        text, kind = tok.group(0), tok.lastgroup
+        row = rows[-1]
+        if kind == "repeat":
+            if last is None:
+                continue
+            low, high = _times(text)
+            body = row[last:]
+            if len(body) == 1 and body[0] is not None:
+                one = body[0]
+                row[last:] = [_Piece(one.chars, one.needed and low > 0, one.unlimited or high > _MOST_COPIES)]
+            elif body:
+                if any(p is not None and p.unlimited for p in body):
+                    return None
+                row[last:] = [_Piece(_ALL, False, high > _MOST_COPIES)]
+            last = None
+        elif kind == "group" and text.endswith(")"):
+            continue
+        elif kind == "group" or (kind == "char" and text == "("):
+            opened.append({"at": len(row), "either": False})
+            last = None
+        elif kind == "char" and text == ")" and opened:
+            group = opened.pop()
+            if group["either"]:
+                if any(p is not None and p.unlimited for p in row[group["at"] :]):
+                    return None
+                row[group["at"] :] = [_Piece(_ALL, False, False)]
+            last = group["at"]
+        elif kind == "char" and text == "|":
+            if opened:
+                opened[-1]["either"] = True
+            else:
+                rows.append([])
+            last = None
+        elif text in ("^", "$", r"\b", r"\B", r"\A", r"\z"):
+            row.append(None)
+            last = None
+        elif kind == "quoted":
+            row.extend(_Piece(_chars(c, folded), True, False) for c in tok.group("quoted"))
+            last = len(row) - 1 if tok.group("quoted") else None
+        else:
+            row.append(_Piece(_chars(text, folded), True, False))
+            last = len(row) - 1
+    return rows
+
+
+def _in_proportion(row: list[_Piece | None]) -> bool:
+    """Proves that a backtracking search for a row of pieces takes time in proportion to the text.
+
+    Two unlimited pieces must not share characters, or something between them must stop the first one: then there is one way
+    only to divide a run between them. And what is tried at every place must not read one run again and again: unless nothing
+    after an unlimited piece can fail, a needed piece before it must stop attempts that begin within its run.
+    """
+    long = [i for i, p in enumerate(row) if p is not None and p.unlimited]
+    stops = lambda a, b, chars: any(p is not None and p.needed and not p.chars & chars for p in row[a:b])
+    for n, i in enumerate(long):
+        own = row[i].chars
+        if any(own & row[j].chars and not stops(i + 1, j, own) for j in long[n + 1 :]):
+            return False
+        fails = any(p is None or p.needed for p in row[i + 1 :])
+        if fails and not stops(0, i, own):
+            return False
+    return True
+
+
 def needs_linear_matcher(pattern: str) -> bool:
-    """True if a backtracking matcher can overflow its stack or take time out of proportion.
+    """True unless it is sure that a backtracking matcher takes time in proportion to the text, and little stack.
 
-    That is a group repeated without limit, many times, or with a body that can be
-    empty or is itself unlimited; and two unlimited repeats of nearly any character.
+    Not sure are groups repeated without limit, many times, or with a body that can be
+    empty or is itself unlimited, and whatever `_in_proportion` cannot prove.
     """
+    if _repeats_groups(pattern):
+        return True
+    rows = _rows(pattern)
+    return rows is None or not all(_in_proportion(row) for row in rows)
+
+
+def _repeats_groups(pattern: str) -> bool:
     frames = [{"unlimited": False, "can_be_empty": False, "needed": False}]
-    last, broad = None, 0
+    last = None
     for tok in _TOKEN.finditer(pattern):
         text, kind = tok.group(0), tok.lastgroup
         if kind == "repeat" and last is not None:
@@ -258,9 +369,6 @@ def needs_linear_matcher(pattern: str) -> bool:
             if last["group"] and (unlimited or (high > 1 and (last["unlimited"] or last["empty"] or high > _MOST_COPIES))):
                 return True
             frames[-1]["unlimited"] |= unlimited
-            broad += unlimited and bool(_BROAD.match(last["text"]))
-            if broad > 1:
-                return True
             last["empty"] |= low == 0
             continue
         if last is not None:
@@ -290,6 +398,54 @@ def linear_match(pattern: str, text: Column) -> Column:
     return found(text)
 
 
+def linear_count(pattern: str, text: Column) -> Column:
+    """How often `pattern` is found in `text`, in linear time."""
+
+    @F.pandas_udf("int")
+    def counted(values: pd.Series) -> pd.Series:
+        return pc.count_substring_regex(pa.array(values, pa.large_string()), pattern).to_pandas()
+
+    return counted(text)
+
+
+def linear_replace(pattern: str, by: str, text: Column) -> Column:
+    """`text` with every find of `pattern` replaced by the plain text `by`, in linear time."""
+
+    @F.pandas_udf("string")
+    def replaced(values: pd.Series) -> pd.Series:
+        return pc.replace_substring_regex(pa.array(values, pa.large_string()), pattern, by.replace("\\", r"\\")).to_pandas()
+
+    return replaced(text)
+
+
+def _each(values: pd.Series, compute) -> pa.ListArray:
+    lists = pa.array(values, pa.list_(pa.large_string()))
+    inner = compute(lists.values)
+    return pa.ListArray.from_arrays(lists.offsets, inner, mask=lists.is_null() if lists.null_count else None)
+
+
+def linear_count_each(pattern: str, texts: Column) -> Column:
+    """How often `pattern` is found in all strings of an array together."""
+
+    @F.pandas_udf("int")
+    def counted(values: pd.Series) -> pd.Series:
+        lists = _each(values, lambda inner: pc.fill_null(pc.count_substring_regex(inner, pattern), 0))
+        return pd.Series([0 if x is None else int(sum(x)) for x in lists.to_pylist()])
+
+    return counted(texts)
+
+
+def linear_replace_each(pattern: str, by: str, texts: Column) -> Column:
+    """`linear_replace` on every string of an array."""
+
+    @F.pandas_udf("array<string>")
+    def replaced(values: pd.Series) -> pd.Series:
+        lists = _each(values, lambda inner: pc.replace_substring_regex(inner, pattern, by.replace("\\", r"\\")))
+        return pd.Series(lists.to_pylist(), dtype=object)
+
+    return replaced(texts)
+
+
 def is_context_free(pattern: str) -> bool:
     """True if a match does not depend on the text around it (no anchor, no boundary)."""
     plain = re.sub(r"\\[^bBAz]", "", pattern)

@@ -200,11 +200,16 @@ def test_stages_stop_at_first_block_or_drop(spark):
 
 
 SLOW = [r"(?:[a-z]|[0-9])*Z", r"(.|\n)*Z", r"(.*?,){12}P", r"a.*b.*c", r"(a?){30}a{30}", r"(?:x|yy)+"]
-QUICK = [r"(?:\d{4}[- ]?){3}\d{4}", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", r'"k": \d*5\b', r"(abc)?d", r"a.*b", r"[^,]*,", r"(a|b)c", r"x(?i)y"]
+#: Time grows with a power of the text's length: runs divided in several ways, or read again from every place in them.
+POLYNOMIAL = [r"[a-z]*[a-z]*[a-z]*Z", r"\w+\w+\w+Z", r"a+b?a+b?a+Z", r".*Z", r"a.*b", r"[^,]*,", r"[a-z]+@x", r"\d+x", r"(\w+) (\w+)#", r"x|\s*y", r"a[a-z]{0,900}[a-z]{0,900}Z"]
+QUICK = [
+    r"(?:\d{4}[- ]?){3}\d{4}", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", r'"k": \d*5\b', r"(abc)?d", r"(a|b)c", r"x(?i)y", r'"a":\s*"[^"]*"',
+    r"k=\w+;\s+v=\d+;", r"\d+", r"sk-[\w-]{20,}", r"#(\d+)-(\d+)-", r"[^,]+", r"\bx\d{2,5}y", "",
+]
 
 
 def test_which_patterns_need_a_linear_matcher():
-    assert [p for p in SLOW if not needs_linear_matcher(p)] == []
+    assert [p for p in SLOW + POLYNOMIAL if not needs_linear_matcher(p)] == []
     assert [p for p in QUICK if needs_linear_matcher(p)] == []
 
 
@@ -221,6 +226,14 @@ def test_hard_patterns_on_long_payloads_end(spark):
     assert [r[0] for r in df.orderBy("seq").select(R.rule_condition(rules[3])).collect()] == [False, True, False, False]
 
 
+def test_polynomial_patterns_end_on_a_long_text(spark):
+    long = call("t", args='"' + "ab" * 500_000 + '"')
+    rules = [Rule(p, "audit", patterns=(p,)) for p in POLYNOMIAL[:4]]
+    df = P.open_messages(raw(spark, [(H2S, long), (H2S, call("aaZ"))]))
+    got = by_seq(R.evaluate_policy(df, rules), "matched_rules")
+    assert got == {0: None, 1: [POLYNOMIAL[0], POLYNOMIAL[3]]}
+
+
 def test_bad_patterns_fail_before_the_job(spark):
     df = P.open_messages(raw(spark, [(H2S, call("a"))]))
     for bad in ("[invalid", "(?=x)", r"(a)\1", "a++", "(?<!x)y", "*a", "(?>a)"):

@@ -132,3 +132,20 @@ def test_random_json_keeps_keys_and_shape(spark, n):
 
     for seq, text in by_seq(D.scrub_json(df), "payload").items():
         assert json.loads(text) == clean(docs[seq])
+
+
+HARD = (CustomPattern("letters", r"[a-z]*[0-9]*[a-z]*Z", "run\\1"), CustomPattern("pairs", r"(?:ab|cd)+!", "pairs"))
+
+
+def test_hard_custom_patterns_are_counted_and_replaced(spark):
+    """What the backtracking matcher cannot be trusted with goes to the linear one, in plain text and in JSON values."""
+    long = "ab" * 500_000
+    texts = [f"x1yZ and abcd! {long}", "Z", "abab! cd! ab!", None, "nothing"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    got = {r.id: (r.t, r.scrub_count) for r in D.scrub_text(df, "t", HARD).collect()}
+    run, pairs = "[REDACTED:run\\1]", "[REDACTED:pairs]"
+    assert got == {0: (f"{run} and {pairs} {long}", 2), 1: (run, 1), 2: (f"{pairs} {pairs} {pairs}", 3), 3: (None, 0), 4: ("nothing", 0)}
+    docs = [{"a": "x1yZ", "Z": ["abab!", {"n": 1, "s": long}]}, {"a": None, "b": "ok"}]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "id int, payload string")
+    rows = {r.id: (json.loads(r.payload), r.scrub_count) for r in D.scrub_json(df, custom_patterns=HARD).collect()}
+    assert rows == {0: ({"a": run, "Z": [pairs, {"n": 1, "s": long}]}, 2), 1: (docs[1], 0)}
