@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalbox import schemas as S
+from signalbox.operators.correlate import micros
 from signalbox.operators.messages import in_chain
 from signalbox.operators.numbering import null_safe_join, numbered
-from signalbox.operators.skew import salted_join
 
 DEFAULT_TIMEOUT = timedelta(seconds=60)
 HISTORY_LIMIT = 100
@@ -64,11 +64,21 @@ def name_requests(requests: DataFrame, ids: str) -> DataFrame:
 
 
 def first_decisions(requests: DataFrame, decisions: DataFrame, timeout: timedelta) -> DataFrame:
-    """Per request id the decision that took effect: the first one made while it was pending."""
+    """Per request id the decision that took effect: the first one made while it was pending.
+
+    Time is cut into slots as long as the timeout, so a request's window touches its own slot and the next one,
+    and decisions on one id that come over a long time meet in different tasks. The minimum is taken
+    in each of them first, and adaptive execution can split an (id, slot) that is hot in itself.
+    """
+    span = micros(effective_timeout(timeout))
+    slot = lambda ts: F.floor(F.unix_micros(ts) / F.lit(span)).cast("bigint")
     windows = requests.select("id", F.col("ts").alias("_from"), deadline(F.col("ts"), timeout).alias("_to"))
+    # The slots of both ends: float division rounds, in the same way for all times of a slot's border.
+    windows = windows.withColumn("_slot", F.explode(F.sequence(slot(F.col("_from")), slot(F.col("_to")))))
     made = decisions.select(F.col("approval_id").alias("id"), "decided_at", "approved", "decision_seq")
     return (
-        salted_join(made, windows, ["id"], "inner", F.col("decision_seq"))
+        made.withColumn("_slot", slot(F.col("decided_at")))
+        .join(windows, ["id", "_slot"])
         .where(F.col("decided_at").between(F.col("_from"), F.col("_to")))
         .groupBy("id")
         .agg(F.min(F.struct("decided_at", "decision_seq", "approved")).alias("first"))
@@ -168,16 +178,12 @@ def approval_events(requests: DataFrame, resolved: DataFrame) -> DataFrame:
 def rejected(
     requests: DataFrame, decisions: DataFrame, timeout: timedelta = DEFAULT_TIMEOUT
 ) -> DataFrame:
-    """Decisions without effect: the id is unknown, not yet or no longer pending."""
+    """Decisions without effect: the id is unknown, not yet or no longer pending. `decision_seq` is unique within an id."""
     won = first_decisions(requests, decisions, timeout).select(
-        F.col("id").alias("approval_id"), F.col("first.decision_seq").alias("_won")
+        F.col("id").alias("approval_id"), F.col("first.decision_seq").alias("decision_seq")
     )
     message = F.concat(
         F.lit('approval request "'), F.col("approval_id"), F.lit('" not found or already resolved')
     )
-    return (
-        salted_join(decisions, won, ["approval_id"], "left", F.col("decision_seq"))
-        .where(F.col("_won").isNull() | (F.col("decision_seq") != F.col("_won")))
-        .drop("_won")
-        .withColumn("error", message)
-    )
+    # Every decision has a number of its own, so no key is hot here.
+    return decisions.join(won, ["approval_id", "decision_seq"], "left_anti").withColumn("error", message)

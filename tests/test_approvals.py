@@ -108,3 +108,26 @@ def test_rows_without_time_or_session(spark):
     out = A.apply_approvals(messages, A.resolve_approvals(requests, made))
     held_back = out.where((F.col("policy_action") == "require_approval") & (F.col("status") == S.BLOCKED))
     assert held_back.count() == 0
+
+
+def test_first_decision_over_slots(spark):
+    """Many decisions on few ids, at and around the borders of slots, against a walk over all of them."""
+    rnd = random.Random(8)
+    timeout = timedelta(seconds=60)
+    asked = {f"r{i}": at(rnd.choice([0, 30, 59.999999, 60, 60.000001, 90, 119.999999, 120])) for i in range(40)}
+    made = [(f"r{rnd.randrange(44)}", at(rnd.choice([0, 30, 60, 90, 119.999999, 120, 149, 150, 180, 180.000001, 400])), rnd.random() < 0.5, n) for n in range(400)]
+    made += [("r1", at(rnd.uniform(0, 5000)), True, 1000 + n) for n in range(3000)]
+    requests = spark.createDataFrame([(i, ts) for i, ts in asked.items()] + [("none", None)], "id string, ts timestamp")
+    decisions = spark.createDataFrame(made, S.DECISIONS)
+    want = {}
+    for i, ts in asked.items():
+        able = sorted((d, seq, ok) for r, d, ok, seq in made if r == i and ts <= d <= ts + timeout)
+        if able:
+            want[i] = able[0]
+    got = A.first_decisions(requests, decisions, timeout)
+    assert {r.id: tuple(r["first"][c] for c in ("decided_at", "decision_seq", "approved")) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "sequence" in plan
+    won = {(i, seq) for i, (_, seq, _) in want.items()}
+    lost = {(r.approval_id, r.decision_seq) for r in A.rejected(requests, decisions, timeout).collect()}
+    assert lost == {(r, seq) for r, _, _, seq in made} - won
