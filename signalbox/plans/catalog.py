@@ -395,6 +395,41 @@ def deep_messages(spark, sf):
     return R.enforce_policy(P.open_messages(raw), rules).select("seq", "tool_name", "status", "block_reason")
 
 
+@query(
+    "deep_acceptance",  # P1: the same is accepted, with the same ids and listings, 3 and 1,500 levels deep
+    O.sql(
+        """SELECT event_id AS seq, v IN (2, 3, 4, 7) AS parse_error,
+      CASE v WHEN 0 THEN '"' || k || '"' WHEN 1 THEN CAST(k AS VARCHAR) WHEN 5 THEN 'null' WHEN 6 THEN CAST(k AS VARCHAR) END AS msg_id,
+      CASE WHEN v IN (0, 1, 5) THEN 'request' WHEN v = 6 THEN 'response' END AS kind,
+      coalesce(v = 6, FALSE) AS lists_tools, CASE WHEN v = 6 THEN 't' || k END AS listed
+    FROM (SELECT *, event_id % 8 AS v FROM ev)""",
+        "ev",
+    ),
+)
+def deep_acceptance(spark, sf):
+    levels = F.when(F.col("k") % 2 == 0, 3).otherwise(1500)
+    nested = F.concat(F.lit('{"deep":'), F.repeat(F.lit("["), levels), F.repeat(F.lit("]"), levels))
+    k = F.col("k").cast("string")
+    rest = [
+        F.concat(F.lit(',"id":"'), k, F.lit('","method":"m"}')),
+        F.concat(F.lit(',"id":'), k, F.lit(',"method":"m"}')),
+        F.lit(",'id':1}"),
+        F.lit(',"id":1,"result":NaN}'),
+        F.concat(F.lit(',"id":'), k, F.lit(',"method":5}')),
+        F.lit(',"id":null,"method":"m"}'),
+        F.concat(F.lit(',"id":'), k, F.lit(',"result":{"tools":[{"name":"t'), k, F.lit('"}]}}')),
+        F.concat(F.lit(',"id":"'), k, F.lit('","error":{"code":1.5}}')),
+    ]
+    events = I.events(spark, sf)
+    payload = F.concat(nested, F.get(F.array(*rest), (F.col("event_id") % 8).cast("int")))
+    texts = events.select(F.col("event_id").alias("seq"), payload.alias("text"))
+    raw = T.traffic(events).join(texts, "seq").withColumn("payload", F.col("text")).drop("text")
+    opened = I.staged_messages(P.open_messages(raw.withColumn("direction", F.lit(S.SERVER_TO_HOST))), "deep")
+    listed = U.extract_tools(opened.where("lists_tools")).select("session_id", "seq", F.col("tool_name").alias("listed"))
+    found = opened.join(listed, ["session_id", "seq"], "left")
+    return found.select("seq", "parse_error", "msg_id", "kind", F.coalesce("lists_tools", F.lit(False)).alias("lists_tools"), "listed")
+
+
 _HARD = (r'(?:"k"|"q"|x)+: (?:[0-9]|y)*5\b', r"(.|\n)*delete_file", r'(.*?,){2}"params')
 
 
