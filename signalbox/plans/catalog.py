@@ -407,7 +407,7 @@ def deep_messages(spark, sf):
     ),
 )
 def deep_acceptance(spark, sf):
-    levels = F.when(F.col("k") % 2 == 0, 3).otherwise(1500)
+    levels = F.when(F.col("event_id") % 9 == 0, 1500).otherwise(3)
     nested = F.concat(F.lit('{"deep":'), F.repeat(F.lit("["), levels), F.repeat(F.lit("]"), levels))
     k = F.col("k").cast("string")
     rest = [
