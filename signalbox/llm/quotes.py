@@ -82,7 +82,10 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     """
     made = ("quoted_lines", "quote_levels", "reply_to", "anchor_turn")
     keep = [c for c in messages.columns if c not in made]
-    rows = parsed(messages.select(*keep).withColumns({"conv_id": F.col("conv_id").cast("long"), "turn": F.col("turn").cast("long")}))
+    # All other columns travel as one, so that no name of theirs meets one that is used on the way.
+    others = [c for c in keep if c not in ("conv_id", "turn", "text")]
+    carried = [F.struct(*others).alias("_carried")] if others else []
+    rows = parsed(messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "text", *carried))
     hashes = F.transform("_lines", lambda x: F.struct(x["level"].alias("level"), x["h"].alias("h")))
     rows = rows.withColumns(
         {
@@ -104,7 +107,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     links = staged(best.select("conv_id", "turn", (-F.col("b")["o"]).alias("reply_to")), "links")
     anchors = _anchors(links)
     out = rows.drop("_hashes").join(links, ["conv_id", "turn"], "left").join(anchors, ["conv_id", "turn"], "left")
-    return out.select(*keep, "quoted_lines", "quote_levels", "reply_to", F.coalesce("anchor", "turn").alias("anchor_turn"))
+    back = [F.col("_carried")[c].alias(c) if c in others else F.col(c) for c in keep]
+    return out.select(*back, "quoted_lines", "quote_levels", "reply_to", F.coalesce("anchor", "turn").alias("anchor_turn"))
 
 
 def _anchors(links: DataFrame) -> DataFrame:

@@ -48,3 +48,13 @@ def test_odd_rows(spark):
     got = quotes.link_quotes(df).collect()
     assert len(got) == 5 and [r.reply_to for r in got if r.turn == 1] == [0]
     assert quotes.link_quotes(df.limit(0)).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    """Names that the operator uses on its way come through unchanged."""
+    names = ["anchor", "h", "slot", "origin", "level", "own", "n", "b", "o", "_lines", "_hashes", "_carried", "next", "moved", "last", "near"]
+    rows = [(1, 1, "one line", *range(16)), (1, 2, "> one line\nyes", *range(20, 36)), (1, 3, "> yes\n>> one line", *range(40, 56))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = sorted(quotes.link_quotes(df).collect(), key=lambda r: r.turn)
+    assert [tuple(r[n] for n in names) for r in got] == [r[3:] for r in rows]
+    assert [(r.text, r.reply_to, r.anchor_turn) for r in got] == [("one line", None, 1), ("yes", 1, 1), ("", 2, 1)]
