@@ -140,13 +140,14 @@ def _terms(masked: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(masked, F.lit(_TERM), F.lit(0)), lambda t: F.lower(t)))
 
 
-def _share(both: Column, n_entity: Column, n_term: Column, n: int, shrink: Column) -> Column:
+def _share(both: Column, n_entity: Column, n_term: Column, n: int, n_entities: int, shrink: Column) -> Column:
     """What a term tells of an entity, as a share of the entity's information; see `disclosing_terms`."""
     p = n_entity / F.lit(float(n))
     given = (both + shrink * p) / (n_term + shrink)
     chance = n_term * p
     tail = F.when(chance < both, F.exp(both - chance + both * F.log(chance / both))).otherwise(1.0)
-    return F.when(p < 1, F.greatest(F.log(given / p), F.lit(0.0)) / -F.log(p) * (1 - F.least(tail, F.lit(1.0))))
+    luck = F.least(n_entities * tail, F.lit(1.0))
+    return F.when(p < 1, F.greatest(F.log(given / p), F.lit(0.0)) / -F.log(p) * (1 - luck))
 
 
 def _band(n_term: Column) -> Column:
@@ -185,8 +186,9 @@ def disclosing_terms(docs: DataFrame, held: DataFrame, n: int, generalise: float
     p(entity) = n(entity) / n. p(entity | term) is drawn towards p(entity), as if `shrink` documents
     without news of the entity had the term too: (n(both) + shrink p(entity)) / (n(term) + shrink),
     with the shrinkage that held-out co-occurrence gives for terms of that frequency (`fitted_shrink`).
-    The share is weighted by how far the pair departs from chance: 1 - exp(b - c) (c / b)^b, a bound of
-    the Poisson probability of b = n(both) or more meetings where c = n(term) p(entity) are expected.
+    The share is weighted by how far the pair departs from chance, 1 - min(1, entities * tail): how many of
+    the corpus's different entities such a term would meet so by luck. The tail exp(b - c) (c / b)^b bounds the
+    Poisson probability of b = n(both) or more meetings where c = n(term) p(entity) are expected.
     It is 1 at most, and the largest over the document's entities counts.
 
     Entities of one document share their terms' n(both) = 1, so no pair of theirs is a row.
@@ -198,6 +200,7 @@ def disclosing_terms(docs: DataFrame, held: DataFrame, n: int, generalise: float
     entities = held.select("_row", F.explode("entities").alias("entity")).groupBy("entity")
     entities = staged(entities.agg(F.count(F.lit(1)).alias("n_entity"), F.min("_row").alias("_row")), "entity_counts")
 
+    n_entities = entities.count()
     again = held.select("_row", F.explode("entities").alias("entity")).join(entities.where("n_entity > 1").select("entity"), "entity")
     again = again.groupBy("_row").agg(F.collect_list("entity").alias("entities"))
     again = staged(again.join(held.select("_row", "terms"), "_row"), "repeated")
@@ -207,13 +210,13 @@ def disclosing_terms(docs: DataFrame, held: DataFrame, n: int, generalise: float
 
     by_band = F.array(*map(F.lit, fitted_shrink(terms, pairs)))
     shrink = F.get(by_band, _band(F.col("n_term")))
-    share = _share(F.lit(1), F.lit(1), F.col("n_term"), n, shrink)
+    share = _share(F.lit(1), F.lit(1), F.col("n_term"), n, n_entities, shrink)
     rare = staged(terms.select("term", share.alias("share")).where(F.col("share") >= generalise), "rare_terms")
     alone = entities.where("n_entity = 1").select("_row").distinct()
     marks = held.select("_row", F.explode("terms").alias("term")).join(rare, "term").join(alone, "_row", "left_semi")
 
     pairs = pairs.join(entities.select("entity", "n_entity"), "entity")
-    share = _share(F.col("both"), F.col("n_entity"), F.col("n_term"), n, shrink)
+    share = _share(F.col("both"), F.col("n_entity"), F.col("n_term"), n, n_entities, shrink)
     pairs = staged(pairs.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise), "shares")
     marks = marks.select("_row", "term", "share").union(met.join(pairs, ["entity", "term"]).select("_row", "term", "share"))
     return marks.groupBy("_row", "term").agg(F.max("share").alias("share"))
