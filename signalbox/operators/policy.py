@@ -72,6 +72,11 @@ def _all_java_patterns(rules: list[Rule]) -> list[list[str]]:
     return [[known[p] for p in rule.patterns] for rule in rules]
 
 
+def check_rules(rules: list[Rule]) -> None:
+    """An error for a rule with a bad pattern, naming both."""
+    _all_java_patterns(rules)
+
+
 def _quote(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 

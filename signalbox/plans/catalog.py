@@ -349,6 +349,16 @@ def evaluate_policy_table(spark, sf):
     )
 
 
+@query("policy_from_files", _TABLE_SQL)  # S7
+def policy_from_files(spark, sf):
+    path = work_dir(spark, "policy_rules")
+    I.rule_table(spark, sf).write.json(path)
+    policy = capture.read_policy(spark, path)
+    return R.evaluate_policy(I.opened(spark, sf), list(policy.rules)).select(
+        "seq", F.array_join("matched_rules", ",").alias("rules"), "policy_action", "deny_rule", "approval_rule"
+    )
+
+
 @query(
     "evaluate_policy_many_rules",  # R6: a rule per customer, so that rules grow with the tables, too
     O.sql(

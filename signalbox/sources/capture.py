@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalbox import schemas as S
-from signalbox.operators.policy import CustomPattern
+from signalbox.operators.policy import RULES_PER_PART, CustomPattern, Policy, check_rules, read_rule_parts
 
 MAX_MESSAGE_BYTES = 10 * 1024 * 1024
 
@@ -48,3 +48,21 @@ def read_custom_patterns(spark: SparkSession, path: str) -> list[CustomPattern]:
     """Custom redaction patterns from JSON lines, in `ord` order."""
     rows = spark.read.schema(S.CUSTOM_PATTERNS).json(path).orderBy("ord").collect()
     return [CustomPattern(r["name"], r["pattern"], r["label"]) for r in rows]
+
+
+def read_policy(
+    spark: SparkSession, rules: str, patterns: str | None = None, scrub: bool = False, max_rules: int = RULES_PER_PART
+) -> Policy:
+    """A `Policy` from files: rules, custom redaction patterns and whether redaction is on.
+
+    Stops at a bad rule pattern, naming rule and pattern, before any job over messages starts. A bad custom
+    pattern is skipped with a warning when redaction is set up. A `Policy` lives on the driver: more than
+    `max_rules` rules are an error here, and belong in `enforce_policy` as a table (`read_rules`).
+    """
+    parts = read_rule_parts(read_rules(spark, rules), max_rules)
+    found = next(parts, [])
+    if next(parts, None):
+        raise ValueError(f"more than {max_rules} rules in {rules}: hand them to enforce_policy as a table")
+    check_rules(found)
+    custom = read_custom_patterns(spark, patterns) if patterns else []
+    return Policy(tuple(found), scrub, tuple(custom))

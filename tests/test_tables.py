@@ -100,6 +100,27 @@ def test_capture_and_rules(spark, tmp_path):
     assert capture.read_custom_patterns(spark, str(tmp_path / "pat.json"))[0].pattern == "t_[0-9]+"
 
 
+def test_policy_from_files(spark, tmp_path):
+    from signalbox.functions.regex import PatternError
+    from signalbox.operators.policy import CustomPattern, Policy, Rule
+
+    rules, patterns = tmp_path / "rules.json", tmp_path / "patterns.json"
+    rules.write_text('{"ord":2,"name":"b","action":"deny","patterns":["x+y"]}\n{"ord":1,"name":"a","action":"audit","direction":"host_to_server"}\n')
+    patterns.write_text('{"ord":0,"name":"n","pattern":"t_[0-9]+","label":"l"}\n')
+    wanted = (Rule("a", "audit", direction=H2S), Rule("b", "deny", patterns=("x+y",)))
+    assert capture.read_policy(spark, str(rules)) == Policy(wanted)
+    whole = capture.read_policy(spark, str(rules), str(patterns), scrub=True)
+    assert whole == Policy(wanted, True, (CustomPattern("n", "t_[0-9]+", "l"),)) and whole.active_patterns()
+    assert not capture.read_policy(spark, str(rules), str(patterns)).active_patterns()
+    with pytest.raises(ValueError, match="more than 1 rules"):
+        capture.read_policy(spark, str(rules), max_rules=1)
+    rules.write_text('{"ord":1,"name":"bad one","action":"deny","patterns":["(open"]}\n')
+    with pytest.raises(PatternError, match="bad one"):
+        capture.read_policy(spark, str(rules))
+    rules.write_text("")
+    assert capture.read_policy(spark, str(rules)) == Policy()
+
+
 def test_merges(spark):
     stored = spark.createDataFrame([("s1", at(5), None, "srv", ["-a"]), ("s3", at(1), at(2), "y", [])], S.SESSIONS)
     events = spark.createDataFrame([("s1", at(7), None, "later", ["-b"]), ("s1", None, at(9), None, None), ("s2", at(3), None, "x", [])], S.SESSIONS)
