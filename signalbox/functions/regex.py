@@ -12,6 +12,7 @@ import json
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -256,6 +257,7 @@ _OTHERS = 128
 _ALL = frozenset(range(_OTHERS + 1))
 
 
+@lru_cache(maxsize=10_000)
 def _chars(token: str, folded: bool) -> frozenset[int]:
     """The characters that a class, an escape or a character takes; all of them if that is not easily seen."""
     if re.search(r"\[:|\\[pPxabfv0-9Q]|&&", token) or token == ".":
@@ -398,6 +400,24 @@ def linear_match(pattern: str, text: Column) -> Column:
     return found(text)
 
 
+def linear_match_all(patterns: Column, text: Column) -> Column:
+    """`text` contains every pattern of its row's array, found in linear time; a null text contains none."""
+
+    @F.pandas_udf("boolean")
+    def found(lists: pd.Series, values: pd.Series) -> pd.Series:
+        rows: dict[str, list[int]] = {}
+        for i, own in enumerate(lists):
+            for pattern in own if own is not None else ():
+                rows.setdefault(pattern, []).append(i)
+        texts, out = pa.array(values, pa.large_string()), pd.Series(True, index=range(len(values)))
+        for pattern, at in rows.items():
+            met = pc.fill_null(pc.match_substring_regex(texts.take(pa.array(at)), pattern), False)
+            out.iloc[at] = out.iloc[at].to_numpy() & met.to_numpy(zero_copy_only=False)
+        return out
+
+    return found(patterns, text)
+
+
 def linear_count(pattern: str, text: Column) -> Column:
     """How often `pattern` is found in `text`, in linear time."""
 

@@ -20,6 +20,9 @@ from signalbox.functions.plan import once
 from signalbox.functions.regex import PatternError, checked, linear_match, needs_linear_matcher
 from signalbox.operators.messages import in_chain
 from signalbox.operators.rule_index import RuleIndex, candidate_rules, literal_array
+from signalbox.operators.rule_join import content_keys, ordered_rules, rule_rest, rules_met
+from signalbox.session import work_dir
+from signalbox.sources.tables import staged
 
 
 @dataclass(frozen=True)
@@ -185,8 +188,10 @@ def evaluate_policy(df: DataFrame, rules: list[Rule], payload: str = "payload")
     )
 
 
-# A rule table is configuration, but may be long: so many rules are read and tested at a time.
+# A rule table is configuration, but may be long: a policy on the driver has at most so many rules.
 RULES_PER_PART = 50_000
+# From a table, so many rules at most become part of a plan.
+RULES_IN_PLAN = 10_000
 
 
 def read_rule_parts(rules_df: DataFrame, size: int) -> Iterator[list[Rule]]:
@@ -195,8 +200,7 @@ def read_rule_parts(rules_df: DataFrame, size: int) -> Iterator[list[Rule]]:
     Rules with equal `ord` follow each other by name and then by their other parts,
     so one table has one order, wherever a part ends. A NULL name reads as ''.
     """
-    rest = F.to_json(F.struct("action", "methods", "tools", "direction", "patterns"))
-    rows = rules_df.withColumn("name", F.coalesce("name", F.lit(""))).orderBy("ord", "name", rest).toLocalIterator()
+    rows = rules_df.withColumn("name", F.coalesce("name", F.lit(""))).orderBy("ord", "name", rule_rest()).toLocalIterator()
     while part := list(islice(rows, size)):
         yield [
             Rule(
@@ -212,15 +216,20 @@ def read_rule_parts(rules_df: DataFrame, size: int) -> Iterator[list[Rule]]:
 
 
 def evaluate_policy_table(
-    df: DataFrame, rules_df: DataFrame, payload: str = "payload", part_rules: int = RULES_PER_PART
+    df: DataFrame, rules_df: DataFrame, payload: str = "payload", part_rules: int = RULES_IN_PLAN
 ) -> DataFrame:
     """`evaluate_policy` with the rules as a table, in order of `ord` (see `read_rule_parts`).
 
-    The table is read in bounded parts when the plan is built. An index finds each
-    message's candidates (see `rule_index`), so its cost follows the rules that can match
-    rather than all rules; messages are neither multiplied nor shuffled. The size
-    of a part changes the plan, never the result.
+    Up to `part_rules` rules become part of the plan, where an index finds each message's
+    candidates (see `rule_index`); messages are neither multiplied nor shuffled. A longer table stays a
+    table and is joined with the messages (see `rule_join`), so the driver never holds it; only a
+    stream takes any table into its plan, part by part. The way changes the plan, never the result.
     """
+    parts = read_rule_parts(rules_df, part_rules) if df.isStreaming else None
+    if parts is None:
+        if rules_df.limit(part_rules + 1).count() > part_rules:
+            return _evaluate_joined(df, rules_df, payload)
+        parts = read_rule_parts(rules_df, max(part_rules, 1))
     none = F.lit(None).cast("string")
     out = df.withColumns(
         {
@@ -230,16 +239,44 @@ def evaluate_policy_table(
             "_actions": F.array().cast("array<string>"),
         }
     )
-    for part in read_rule_parts(rules_df, part_rules):
+    for part in parts:
         out = _evaluate_part(out, part, payload)
-    return out.withColumns(
-        {
-            "matched_rules": F.when(F.size("matched_rules") > 0, F.col("matched_rules")),
-            "policy_action": F.when(F.array_contains("_actions", S.DENY), S.DENY)
-            .when(F.array_contains("_actions", S.REQUIRE_APPROVAL), S.REQUIRE_APPROVAL)
-            .when(F.array_contains("_actions", S.AUDIT), S.AUDIT),
-        }
-    ).drop("_actions")
+    return out.withColumns({"matched_rules": F.when(F.size("matched_rules") > 0, F.col("matched_rules")), "policy_action": _strongest("_actions")}).drop("_actions")
+
+
+def _strongest(actions: str) -> Column:
+    return (
+        F.when(F.array_contains(actions, S.DENY), S.DENY)
+        .when(F.array_contains(actions, S.REQUIRE_APPROVAL), S.REQUIRE_APPROVAL)
+        .when(F.array_contains(actions, S.AUDIT), S.AUDIT)
+    )
+
+
+def _evaluate_joined(df: DataFrame, rules_df: DataFrame, payload: str) -> DataFrame:
+    """The rules met by each distinct content (direction, method, tool, text), joined back to the messages."""
+    rules = ordered_rules(rules_df)
+    if not rules.valid():
+        for part in read_rule_parts(rules_df, RULES_IN_PLAN):
+            check_rules(part)  # names the rule
+    first, second = content_keys(payload)
+    # Written once, as both sides of the join read it: finding these columns may have cost a parse.
+    keyed = staged(df.withColumns({"_c1": F.when(_active(df), first), "_c2": F.when(_active(df), second)}), work_dir(df.sparkSession, "judged"))
+    met = rules_met(keyed, rules, payload)
+    found = F.array_sort("_met")
+    met = met.select("_c1", "_c2", F.transform(found, lambda r: r["name"]).alias("matched_rules"), F.transform(found, lambda r: r["action"]).alias("_actions"))
+    deny = F.array_position("_actions", S.DENY).cast("int")
+    # The last approval before any deny.
+    before = F.when(deny > 0, F.slice("_actions", 1, deny - 1)).otherwise(F.col("_actions"))
+    back = F.array_position(F.reverse(before), S.REQUIRE_APPROVAL).cast("int")
+    met = met.select(
+        F.col("_c1").alias("_m1"),
+        F.col("_c2").alias("_m2"),
+        "matched_rules",
+        F.when(deny > 0, F.get("matched_rules", deny - 1)).alias("deny_rule"),
+        F.when(back > 0, F.get("matched_rules", F.size(before) - back)).alias("approval_rule"),
+        _strongest("_actions").alias("policy_action"),
+    )
+    return keyed.join(met, (F.col("_c1") == F.col("_m1")) & (F.col("_c2") == F.col("_m2")), "left").drop("_c1", "_c2", "_m1", "_m2")
 
 
 def _evaluate_part(df: DataFrame, rules: list[Rule], payload: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from signalbox.functions.regex import PatternError, checked, needs_linear_matche
 from signalbox.operators import chain as C
 from signalbox.operators import messages as P
 from signalbox.operators import policy as R
+from signalbox.operators import rule_join
 from signalbox.operators.policy import Rule
 from signalbox.operators.rule_index import RuleIndex
 from tests.helpers import H2S, S2H, by_seq, call, list_request, raw
@@ -82,6 +84,41 @@ def test_rules_mean_what_they_say(spark, seed):
         assert hits <= set(one_by_one[i]) and one_by_one[i] == sorted(set(one_by_one[i]))
 
 
+def test_a_long_rule_table_stays_off_the_driver(spark, monkeypatch):
+    """Beyond `part_rules` no rule is read to the driver; slow patterns, copies of messages and rules, and nulls count as ever."""
+    rows = [(H2S, call(f"t{i % 2}", args=f'"k {i % 7} aaZ"')) for i in range(30)] + [(H2S, None), (S2H, '{"id":1}')]
+    rules = [(i % 9, f"r{i}", ("deny", "audit", "require_approval", None)[i % 4], ["tools/call"][: i % 2], ["t1", "t0", "t0"][: i % 4], "", [rf"k\s{i % 9}\b"]) for i in range(36)]
+    rules += [(None, "slow", "audit", None, None, None, [r".*Z", "aa"]), (5, "twice", "audit", [], [], H2S, []), (5, "twice", "audit", [], [], H2S, [])]
+    table = spark.createDataFrame(rules, S.RULES)
+    df = P.open_messages(raw(spark, rows))
+    df = df.unionByName(df.withColumn("seq", F.col("seq") + 100))
+    columns = ("policy_action", "matched_rules", "deny_rule", "approval_rule")
+    want = by_seq(R.evaluate_policy_table(df, table), *columns)
+    assert sum(len(w[1] or []) for w in want.values()) > 200
+    monkeypatch.setattr(R, "read_rule_parts", None)
+    assert by_seq(R.evaluate_policy_table(df, table, part_rules=5), *columns) == want
+
+
+def test_literals_are_found_in_texts():
+    """Against plain search, over window borders."""
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choices("abé", k=n)).encode() for n in (0, 50, 3, 0, 400, 1)]
+    literals = {"a".encode(), "bab".encode(), "é".encode(), "aaba".encode(), "éa".encode()}
+    known = {rule_join._literal_hash(t): t for t in literals}
+    bitmap = np.zeros(1 << 10, np.uint64)
+    for h in known:
+        bit = h & (len(bitmap) * 64 - 1)
+        bitmap[bit >> 6] |= np.uint64(1 << (bit & 63))
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    want = {(i, lit) for i, t in enumerate(texts) for lit in literals if lit in t}
+    for window in (7, 1 << 20):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(rule_join, "_WINDOW", window)
+            owner, hashes = rule_join.found_literals(np.frombuffer(b"".join(texts), np.uint8), offsets, sorted({len(t) for t in literals}), bitmap)
+        found = [(int(i), known[int(h)]) for i, h in zip(owner, hashes) if int(h) in known]
+        assert len(found) == len(set(found)) and set(found) == want
+
+
 def test_required_literals():
     cases = {
         "abc": ["abc"], "ab?c": ["a", "c"], "ab+c": ["ab", "c"], "a|b": [], "(a|b)cd": ["cd"], "(?i)ab": [], r"\.pem$": [".pem"], "ab{0,2}": ["a"],
