@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# No repeated group: a matcher needs no stack for it. A string comes in pieces, escapes as pairs.
-_TOKENS = r'\\[\s\S]|["\[\]{}:,]|[^\\"\[\]{}:,]+'
+# No repeated group: a matcher needs no stack for it. A string comes in pieces, escapes as pairs; brackets open together.
+_TOKENS = r'\\[\s\S]|["\]}:,]|[\[{]+|[^\\"\[\]{}:,]+'
 #: Longer keys are none that anyone looks for, and are not kept whole.
 _LONGEST_KEY = 200
 _BLANKS = r"' \t\r\n'"
@@ -51,21 +51,26 @@ def _let(value: str, name: str, body: str) -> str:
 def _fold(text: str, own: dict[str, str], step: dict[str, str]) -> str:
     """Folds the tokens of `text`: a place, a depth, the last string, and the state `own`.
 
-    `step` renews `own` from the state `s` before a token and what the token is: `now.ends` (it ends a member at this
+    `step` renews `own` from the state `s` (its own part in `s.keep`) before a token and what the token is: `now.ends` (it ends a member at this
     depth, else 0), `now.colon` (it follows a key at this depth, else 0) and the place `now.at` after it.
     """
-    unescaped = """CASE WHEN contains(s.text, '\\\\') THEN get_json_object(concat('{"k":"', s.text, '"}'), '$.k') ELSE s.text END"""
-    start = {"at": "0", "depth": "0", "inside": "false", "text": "''"} | own
-    now = {
-        "ends": "if(NOT s.inside AND t IN (',', '}', ']'), s.depth, 0)",
-        "colon": "if(NOT s.inside AND t = ':', s.depth, 0)",
+    unescaped = """CASE WHEN contains(s.keep.text, '\\\\') THEN get_json_object(concat('{"k":"', s.keep.text, '"}'), '$.k') ELSE s.keep.text END"""
+    start = {"at": "0", "depth": "0", "inside": "false", "keep": _struct({"text": "''"} | own)}
+    place = {
         "at": "s.at + length(t)",
-        "depth": "s.depth + CASE WHEN s.inside THEN 0 WHEN t IN ('{', '[') THEN 1 WHEN t IN ('}', ']') THEN -1 ELSE 0 END",
+        "depth": "s.depth + CASE WHEN s.inside THEN 0 WHEN startswith(t, '{') OR startswith(t, '[') THEN length(t) WHEN t IN ('}', ']') THEN -1 ELSE 0 END",
         "inside": "if(t = '\"', NOT s.inside, s.inside)",
-        "text": f"CASE WHEN t = '\"' THEN if(s.inside, {unescaped}, '') WHEN s.inside AND length(s.text) < {_LONGEST_KEY} THEN concat(s.text, t) ELSE s.text END",
     }
-    renewed = {k: f"now.{k}" for k in ("at", "depth", "inside", "text")} | step
-    return f"aggregate(regexp_extract_all({text}, r'{_TOKENS}', 0), {_struct(start)}, (s, t) -> {_let(_struct(now), 'now', _struct(renewed))})"
+    now = place | {
+        "ends": "if(NOT s.inside AND t IN (',', '}', ']'), s.depth, 0)",
+        "colon": "if(NOT s.inside AND t = ':', s.depth, 0)",
+        "text": f"CASE WHEN t = '\"' THEN if(s.inside, {unescaped}, '') WHEN s.inside AND length(s.keep.text) < {_LONGEST_KEY} THEN concat(s.keep.text, t) ELSE s.keep.text END",
+    }
+    renewed = {k: f"now.{k}" for k in place} | {"keep": _struct({"text": "now.text"} | step)}
+    # Below the second level, and where brackets open below the first, nothing is to be kept: only the place moves.
+    passing = "s.depth > 2 OR (NOT s.inside AND s.depth > 0 AND (startswith(t, '{') OR startswith(t, '[')))"
+    moved = f"if({passing}, {_struct(place | {'keep': 's.keep'})}, {_let(_struct(now), 'now', _struct(renewed))})"
+    return f"aggregate(regexp_extract_all({text}, r'{_TOKENS}', 0), {_struct(start)}, (s, t) -> {moved}, s -> s.keep)"
 
 
 def _name(path: str) -> str:
@@ -84,16 +89,16 @@ def fields(text: str, paths: tuple[str, ...]) -> str:
     own, step = {}, {}
     for n in (1, 2):
         own |= {f"k{n}": "CAST(NULL AS STRING)", f"v{n}": "0"}
-        step[f"k{n}"] = f"CASE WHEN now.colon = {n} THEN s.text WHEN now.ends = {n} THEN NULL ELSE s.k{n} END"
-        step[f"v{n}"] = f"if(now.colon = {n}, now.at, s.v{n})"
+        step[f"k{n}"] = f"CASE WHEN now.colon = {n} THEN s.keep.text WHEN now.ends = {n} THEN NULL ELSE s.keep.k{n} END"
+        step[f"v{n}"] = f"if(now.colon = {n}, now.at, s.keep.v{n})"
     for p in paths:
         first, _, second = p.partition(".")
         n = 2 if second else 1
-        is_it = f"s.k1 = '{first}'" + (f" AND s.k2 = '{second}'" if second else "")
+        is_it = f"s.keep.k1 = '{first}'" + (f" AND s.keep.k2 = '{second}'" if second else "")
         # A repeated object starts anew.
-        anew = f"WHEN now.colon = 1 AND s.text = '{first}' THEN {_SPAN}" if second else ""
+        anew = f"WHEN now.colon = 1 AND s.keep.text = '{first}' THEN {_SPAN}" if second else ""
         own[_name(p)] = _SPAN
-        step[_name(p)] = f"CASE WHEN now.ends = {n} AND {is_it} THEN named_struct('a', s.v{n}, 'b', s.at) {anew} ELSE s.{_name(p)} END"
+        step[_name(p)] = f"CASE WHEN now.ends = {n} AND {is_it} THEN named_struct('a', s.keep.v{n}, 'b', s.at) {anew} ELSE s.keep.{_name(p)} END"
     return _let(_fold(text, own, step), "e", _struct({_name(p): _part(text, f"e.{_name(p)}") for p in paths}))
 
 
@@ -105,9 +110,9 @@ def members(text: str) -> str:
     """
     own = {"key": "CAST(NULL AS STRING)", "begin": "0", "found": "CAST(array() AS ARRAY<STRUCT<key: STRING, a: INT, b: INT>>)"}
     step = {
-        "key": "CASE WHEN now.colon = 1 THEN s.text WHEN now.ends = 1 THEN NULL ELSE s.key END",
-        "begin": "if(now.ends = 1 OR now.colon = 1 OR s.depth = 0, now.at, s.begin)",
-        "found": "if(now.ends = 1, concat(s.found, array(named_struct('key', s.key, 'a', s.begin, 'b', s.at))), s.found)",
+        "key": "CASE WHEN now.colon = 1 THEN s.keep.text WHEN now.ends = 1 THEN NULL ELSE s.keep.key END",
+        "begin": "if(now.ends = 1 OR now.colon = 1 OR s.depth = 0, if(s.depth = 0, s.at + 1, now.at), s.keep.begin)",
+        "found": "if(now.ends = 1, concat(s.keep.found, array(named_struct('key', s.keep.key, 'a', s.keep.begin, 'b', s.at))), s.keep.found)",
     }
     texts = f"transform({_fold(text, own, step)}.found, m -> named_struct('key', m.key, 'text', {_part(text, 'm')}))"
     return f"filter({texts}, m -> m.text <> '')"
