@@ -1129,6 +1129,7 @@ def screen_secrets(spark, sf):
 
 
 _STREAM_FILES = 3
+_ROW_GROUP_BYTES = 1 << 20
 
 
 def _event_parts(spark, sf) -> list[DataFrame]:
@@ -1154,11 +1155,14 @@ def _event_parts(spark, sf) -> list[DataFrame]:
 
 
 def _event_stream(spark, sf) -> DataFrame:
-    """The events as files of consecutive times, one per micro-batch."""
+    """The events as files of consecutive times, one per micro-batch.
+
+    Their row groups are small, so that many tasks can share a batch however many rows it has.
+    """
     path = work_dir(spark, "event_files")
     parts = _event_parts(spark, sf)
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.coalesce(1).write.mode("append").option("parquet.block.size", _ROW_GROUP_BYTES).parquet(path)
     reader = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1)
     return T.typed_events(reader.parquet(path))
 
