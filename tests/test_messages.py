@@ -1,8 +1,10 @@
 import itertools
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from signalbox.functions import deep
 from signalbox.operators import messages as P
 from signalbox.operators.policy import Rule, enforce_policy
 from tests.helpers import H2S, S2H, by_seq, call, raw
@@ -196,3 +198,17 @@ def test_filters_do_not_multiply_the_parse(spark):
     df = P.open_messages(raw(spark, [(H2S, call("a"))])).where((F.col("kind") == "request") & (F.col("tool_name") == "a"))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") == 3  # the payload; of one that is too deep the id and the envelope
+
+
+def test_deep_levels_cost_little(spark):
+    """What lies below the second level is passed over; what follows it, and brackets that open together, are read as ever."""
+    n = 300_000
+    texts = ['{"a":' + "[" * n + "]" * n + ',"params":{"x":[{"name":0}],"name":"t"},"id":[[7]]}', '{"params":{"name":"[{","x":{"name":1}}}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    spark.range(1).count()
+    began = time.monotonic()
+    got = [tuple(r) for r in df.orderBy("i").select(F.expr(deep.fields("t", ("id", "params.name"))).alias("f")).select("f.*").collect()]
+    assert time.monotonic() - began < 8
+    assert got == [("[[7]]", '"t"'), (None, '"[{"')]
+    lists = spark.createDataFrame([('[[{"a":1}],[[2]],3]',), ('[{"b":[1]},"[["]',)], "t string")
+    assert [r[0] for r in lists.select(F.expr(deep.tool_list("t"))).collect()] == [['[{"a":1}]', "[[2]]", "3"], ['{"b":[1]}', '"[["']]

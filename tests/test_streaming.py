@@ -2,6 +2,8 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+import pyarrow.parquet as pq
+
 from signalbox import schemas as S
 from signalbox.operators import approvals as A
 from signalbox.operators import correlate as J
@@ -247,3 +249,15 @@ def test_governed_stream_without_input(spark, tmp_path):
     chain = GovernedStream(str(tmp_path / "none"), REVIEWED)
     chain.finish(spark)
     assert chain.messages(spark).count() == chain.approvals(spark).count() == chain.registry(spark).count() == 0
+
+
+def test_many_tasks_can_share_a_batch(spark, tmp_path, monkeypatch):
+    """The file of a micro-batch comes in many row groups, not in one that a single task must read."""
+    events = spark.range(600_000).selectExpr(
+        "id AS event_id", "timestamp_seconds(1704067200 + id) AS ts", "id % 977 AS user_id", "'click' AS event_type", "rand(1) AS value", "concat('{\"k\": ', id % 100, '}') AS props"
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(catalog, "work_dir", lambda spark, name: str(tmp_path / name))
+    catalog._event_stream(spark, str(tmp_path))
+    files = list((tmp_path / "event_files").glob("*.parquet"))
+    assert len(files) == 3 and min(pq.ParquetFile(f).num_row_groups for f in files) > 1
