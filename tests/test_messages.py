@@ -202,13 +202,14 @@ def test_filters_do_not_multiply_the_parse(spark):
 
 def test_deep_levels_cost_little(spark):
     """What lies below the second level is passed over; what follows it, and brackets that open together, are read as ever."""
-    n = 300_000
+    n = 1_000_000
     texts = ['{"a":' + "[" * n + "]" * n + ',"params":{"x":[{"name":0}],"name":"t"},"id":[[7]]}', '{"params":{"name":"[{","x":{"name":1}}}']
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    spark.range(1).count()
+    found = df.select("i", F.expr(deep.fields("t", ("id", "params.name"))).alias("f")).select("i", "f.*")
+    found.where("i = 1").collect()
     began = time.monotonic()
-    got = [tuple(r) for r in df.orderBy("i").select(F.expr(deep.fields("t", ("id", "params.name"))).alias("f")).select("f.*").collect()]
-    assert time.monotonic() - began < 8
+    got = [tuple(r)[1:] for r in sorted(found.collect())]
+    assert time.monotonic() - began < 4  # 6.7 s when every token renewed the whole state, 1.8 s since
     assert got == [("[[7]]", '"t"'), (None, '"[{"')]
     lists = spark.createDataFrame([('[[{"a":1}],[[2]],3]',), ('[{"b":[1]},"[["]',)], "t string")
     assert [r[0] for r in lists.select(F.expr(deep.tool_list("t"))).collect()] == [['[{"a":1}]', "[[2]]", "3"], ['{"b":[1]}', '"[["']]
