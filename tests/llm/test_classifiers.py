@@ -6,6 +6,7 @@ import numpy as np
 from signalbox.llm import labelled, linecrf, toxicity
 from signalbox.llm.bytesops import text_chunks
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 
 def auc(scores, y):
@@ -143,3 +144,55 @@ def test_sample_takes_one_row_of_each_document(spark):
     found, weight = labelled.sample(docs, labels, "toxic", 5)
     assert len(found) == len(weight) == 10 and (found["y"] == 1).sum() == 5
     assert found["text"].str.endswith(" 000").all() and found["text"].is_unique
+
+
+def test_toxicity_learns_from_every_labelled_document(spark):
+    """A word that only documents beyond the first 2,000 of a class hold; labels in another table than texts."""
+    rnd = random.Random(3)
+    ids = spark.range(7_000).select("id", F.xxhash64("id").alias("h"), labelled.held_out("id").alias("held")).collect()
+    bad = sorted((r for r in ids if r.id % 2 and not r.held), key=lambda r: r.h)
+    late = {r.id for r in bad[2_000:]} | {r.id for r in ids if r.id % 2 and r.held}
+    assert len(bad) > 2_500
+    words = ["apple", "house", "under", "river", "stone", "light"]
+
+    def text(i):
+        made = [rnd.choice(words) for _ in range(6)]
+        if i % 2:
+            made.insert(rnd.randrange(7), "grubnak" if i in late else "vilemoor")
+        return " ".join(made)
+
+    docs = spark.createDataFrame([(r.id, text(r.id), "en") for r in ids], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r.id, r.id % 2) for r in ids], "doc_id long, toxic int")
+    out = [r for r in toxicity.toxicity(docs, labels, shard=2_000).collect() if r.held_out]
+    assert len(out) > 1_500
+    assert sum(r.toxic == (r.doc_id % 2 == 1) for r in out) > 0.99 * len(out)
+
+
+def test_shards_hold_every_labelled_document_once(spark):
+    docs = spark.createDataFrame([(i, f"t{i} {j}", "en") for i in range(300) for j in range(1 + i % 2)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(0, 400, 2)] + [(None, 1), (4, None)], "doc_id long, toxic int")
+    want = {r.doc_id for r in docs.where(~labelled.held_out("doc_id") & (F.col("doc_id") % 2 == 0)).collect()}
+    one = {(r.doc_id, r.shard, r.text, r.y) for r in labelled.labelled_texts(docs, labels, "toxic", 40).collect()}
+    assert {r[0] for r in one} == want and len(one) == len(want) and len({r[1] for r in one}) > 2
+    again = labelled.labelled_texts(docs.repartition(7), labels.repartition(3), "toxic", 40).collect()
+    assert {(r.doc_id, r.shard, r.text, r.y) for r in again} == one
+
+
+def test_fits_over_tables_equal_those_over_arrays(spark):
+    rnd = random.Random(11)
+    rows = []
+    for _ in range(900):
+        lang, x = rnd.choice(["en", "de", "xx", None]), round(rnd.gauss(0, 1), 2)
+        rows.append((lang, x, int(rnd.random() < (0.01 if lang == "xx" else 0.7 if x > 0.3 else 0.2))))
+    table = spark.createDataFrame(rows, "lang string, x double, y int").repartition(5)
+    x, y = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float)
+    w = labelled.fit_logistic_table(table, ["x"])
+    assert np.allclose(w, labelled.fit_logistic(x[:, None], y, np.ones(len(y))), atol=1e-6)
+    scored = table.select("lang", labelled.logistic(["x"], w).alias("score"), "y").localCheckpoint()
+    got = {r.lang: r.threshold for r in labelled.best_thresholds(scored, slots=6).collect()}
+    assert set(got) == {None, "en", "de"}
+    for lang, threshold in got.items():
+        own = sorted(((r.score, r.y) for r in scored.collect() if lang in (None, r.lang)), reverse=True)
+        levels = sorted({s for s, _ in own}, reverse=True)
+        best = max(range(len(levels)), key=lambda i: (2 * sum(v for s, v in own if s >= levels[i]) / (sum(s >= levels[i] for s, _ in own) + sum(v for _, v in own)), -i))
+        assert abs(threshold - (levels[best] + (levels[best + 1] if best + 1 < len(levels) else 0)) / 2) < 1e-12
