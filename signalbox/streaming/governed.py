@@ -97,7 +97,8 @@ class GovernedStream:
     def _advance(self, raw: DataFrame, made: DataFrame, batch_id: int, end: bool) -> None:
         spark = raw.sparkSession
         work, slot = f"{self.root}/work/{batch_id % 2}", f"{self.root}/state/{batch_id % 2}"
-        new = staged(screen(raw, self.policy), f"{work}/screened")
+        # Spread first: a batch may come from one file, and then one task would parse and screen all of it.
+        new = staged(screen(raw.repartition(*_KEY), self.policy), f"{work}/screened")
         clock, paired_before = self._mark(spark, batch_id - 1)
         newest = new.agg(F.max("ts")).first()[0]
         if newest is not None:

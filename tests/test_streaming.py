@@ -251,6 +251,23 @@ def test_governed_stream_without_input(spark, tmp_path):
     assert chain.messages(spark).count() == chain.approvals(spark).count() == chain.registry(spark).count() == 0
 
 
+def test_governed_stream_screens_a_file_in_many_tasks(spark, tmp_path):
+    """A batch whose rows all come from one file is spread before it is parsed and screened."""
+    rows = [(i, None, f"s{i % 5}", H2S, call("rm", i)) for i in range(200)]
+    inputs = chain_input(spark.createDataFrame(rows, S.RAW_MESSAGES), spark.createDataFrame([], S.DECISIONS))
+    inputs.coalesce(1).write.parquet(str(tmp_path / "src"))
+    one = spark.read.schema(inputs.schema).parquet(str(tmp_path / "src"))
+    root, conf = tmp_path / "chain", "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(conf, "true")
+    spark.conf.set(conf, "false")  # 200 rows would be too few to share
+    try:
+        GovernedStream(str(root), REVIEWED).take(one, 0)
+    finally:
+        spark.conf.set(conf, before)
+    assert len(list((root / "work/0/screened").glob("*.parquet"))) > 1
+    assert spark.read.parquet(str(root / "work/0/screened")).count() == 200
+
+
 def test_many_tasks_can_share_a_batch(spark, tmp_path, monkeypatch):
     """The file of a micro-batch comes in many row groups, not in one that a single task must read."""
     events = spark.range(600_000).selectExpr(
