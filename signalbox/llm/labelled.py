@@ -124,7 +124,7 @@ def best_thresholds(rows: DataFrame, least: int = 20, slots: int = _SLOTS) -> Da
     keys = F.array(F.lit(""), F.concat(F.lit("="), F.col("lang")))
     keyed = rows.select(F.explode(keys).alias("key"), "score", "y").where("key IS NOT NULL")
     met = staged(keyed.groupBy("key", "score").agg(F.sum("y").alias("hits"), F.count("y").alias("n")), "scores")
-    edges = met.groupBy("key").agg(F.percentile_approx("score", [i / slots for i in range(1, slots)], 10_000).alias("edges"))
+    edges = staged(met.groupBy("key").agg(F.percentile_approx("score", [i / slots for i in range(1, slots)], 10_000).alias("edges")), "score_edges")
     slot = F.size(F.filter("edges", lambda e: e <= F.col("score")))
     met = staged(met.join(edges, "key").select("key", "score", "hits", "n", slot.alias("slot")), "score_slots")
     down = Window.partitionBy("key").orderBy(F.desc("slot"))

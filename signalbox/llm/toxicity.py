@@ -104,16 +104,19 @@ class Convolution:
         ends = np.cumsum([p.size // SIZE for p in self.params])[:-1]
         return [part.reshape(p.shape) for part, p in zip(np.split(rows, ends), self.params, strict=True)]
 
-    def fit(self, texts: list[np.ndarray], y: np.ndarray, past: list[np.ndarray] | None = None, epochs: int = ROUNDS, batch: int = 32, rate: float = 0.2, seed=0) -> list[np.ndarray]:
+    def fit(self, texts: list[np.ndarray], y: np.ndarray, past: list[np.ndarray] | None = None, turns: range = range(ROUNDS), batch: int = 32, rate: float = 0.2, seed: int = 0) -> list[np.ndarray]:
         """Adagrad on the logistic loss; rows of the table that no strongest place uses stay as they are.
 
-        Takes and returns the sums of squared gradients (`past`), so that training can go on.
+        Takes and returns the sums of squared gradients (`past`), so that training can go on: with
+        `turns` 0 to 3, then 4 to 7 it is as with all eight at once.
         """
         rng = np.random.default_rng(seed)
         params = self.params
         past = past or [np.full(p.shape, 1e-3, np.float32) for p in params]
-        for _ in range(epochs):
+        for turn in range(turns.stop):
             order = rng.permutation(len(texts))
+            if turn < turns.start:
+                continue
             for lo in range(0, len(order), batch):
                 chosen = order[lo : lo + batch]
                 features = np.concatenate([texts[i] for i in chosen])
@@ -130,7 +133,8 @@ class Convolution:
         rows, first, place = self._vectors(features, n)
         best, pooled = [], []
         for r, b in zip(self._responses(rows), self.biases, strict=True):
-            at = np.stack([a + np.argmax(r[a : a + k + 1], axis=0) for a, k in zip(first, n, strict=True)])
+            across = np.ascontiguousarray(r.T)
+            at = np.stack([a + np.argmax(across[:, a : a + k + 1], axis=1) for a, k in zip(first, n, strict=True)])
             best.append(at)
             pooled.append(np.take_along_axis(r, at, axis=0) + b)
         hidden = np.tanh(np.concatenate(pooled, axis=1))
@@ -174,27 +178,26 @@ def _words(features: bytes) -> np.ndarray:
     return np.frombuffer(features, "<u2").astype(np.int64).reshape(-1, 1 + len(_PREFIXES))
 
 
-_CHANGES = "block int, shard int, at binary, moved binary, mass binary"
+_CHANGES = "block int, shard int, at binary, new binary, mass binary"
 
 
 def _trained(table: pa.Table, model: Convolution, past: list[np.ndarray], turn: int) -> pa.Table:
-    """What an epoch over one shard changes: parameters (`moved`) and squared gradients (`mass`), by block of rows.
+    """The parameters that an epoch over one shard changes (`new`) and their squared gradients (`mass`), by block of rows.
 
     The last row of all holds the bias, whose mass is the number of documents.
     """
     table = table.sort_by("doc_id")
-    shard, before, behind = table["shard"][0].as_py(), model.flat(), model.flat(past)
-    bias = model.bias
+    shard, behind = table["shard"][0].as_py(), model.flat(past)
     texts, y = [_words(f) for f in table["features"].to_pylist()], table["y"].to_numpy().astype(float)
-    past = model.fit(texts, y, past, epochs=1, seed=(turn, shard))
-    last = np.zeros((2, 1, SIZE), np.float32)
-    last[:, 0, 0] = model.bias - bias, len(y)
-    moved = np.concatenate([model.flat() - before, last[0]])
-    mass = np.concatenate([model.flat(past) - behind, last[1]])
+    past = model.fit(texts, y, past, range(turn, turn + 1), seed=shard)
+    last = np.zeros((2, 1, SIZE))
+    last[:, 0, 0] = model.bias, len(y)
+    new = np.concatenate([model.flat(), last[0].astype(np.float32)])
+    mass = np.concatenate([model.flat(past).astype(float) - behind, last[1]])
     rows = np.flatnonzero(mass.any(axis=1))
     parts = np.split(rows, np.flatnonzero(np.diff(rows // _BLOCK)) + 1)
-    out = [(int(p[0] // _BLOCK), shard, p.astype("<i4").tobytes(), moved[p].tobytes(), mass[p].tobytes()) for p in parts]
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["block", "shard", "at", "moved", "mass"])
+    out = [(int(p[0] // _BLOCK), shard, p.astype("<i4").tobytes(), new[p].tobytes(), mass[p].tobytes()) for p in parts]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["block", "shard", "at", "new", "mass"])
 
 
 def _trainer(shared: Broadcast, turn: int) -> Callable[[pa.Table], pa.Table]:
@@ -205,26 +208,27 @@ def _trainer(shared: Broadcast, turn: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def _averaged(table: pa.Table) -> pa.Table:
-    """One row of a block: each parameter's changes averaged by their squared gradients, over the shards that have any."""
+    """One row of a block: each parameter's new values, weighed by their squared gradients, over the shards that have any."""
     table = table.sort_by("shard")
     block = table["block"][0].as_py()
-    moved, mass, times = np.zeros((3, _BLOCK, SIZE))
-    for at, d, m in zip(*(table[c].to_pylist() for c in ("at", "moved", "mass")), strict=True):
+    new, mass, times, last = np.zeros((4, _BLOCK, SIZE))
+    for at, v, m in zip(*(table[c].to_pylist() for c in ("at", "new", "mass")), strict=True):
         at = np.frombuffer(at, "<i4") - block * _BLOCK
-        d, m = (np.frombuffer(v, np.float32).reshape(-1, SIZE).astype(float) for v in (d, m))
-        moved[at] += d * m
+        v, m = np.frombuffer(v, np.float32).reshape(-1, SIZE).astype(float), np.frombuffer(m).reshape(-1, SIZE)
+        new[at] += v * m
         mass[at] += m
         times[at] += m > 0
+        last[at] = v  # what no gradient reached is the same in all
     rows = np.flatnonzero(times.any(axis=1))
-    moved, mass = moved[rows] / np.where(mass[rows] > 0, mass[rows], 1), mass[rows] / np.maximum(times[rows], 1)
-    row = (block, -1, (rows + block * _BLOCK).astype("<i4").tobytes(), moved.astype(np.float32).tobytes(), mass.astype(np.float32).tobytes())
-    return pa.table([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["block", "shard", "at", "moved", "mass"])
+    new = np.where(times > 0, new / np.where(mass > 0, mass, 1), last)[rows]
+    row = (block, -1, (rows + block * _BLOCK).astype("<i4").tobytes(), new.astype(np.float32).tobytes(), (mass[rows] / np.maximum(times[rows], 1)).tobytes())
+    return pa.table([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["block", "shard", "at", "new", "mass"])
 
 
 def fit_shards(texts: DataFrame, rounds: int = ROUNDS) -> Convolution:
     """A classifier fitted to all of `texts` (shard, doc_id, y, features).
 
-    In each round every shard goes on from the same model for an epoch; the changes are averaged by
+    In each round every shard goes on from the same model for an epoch; the new values are averaged by
     block of parameters, and only the averages, as large as the model, come to the driver.
     """
     model = Convolution()
@@ -234,16 +238,14 @@ def fit_shards(texts: DataFrame, rounds: int = ROUNDS) -> Convolution:
         shared = texts.sparkSession.sparkContext.broadcast((model, past))
         changes = texts.groupBy("shard").applyInArrow(_trainer(shared, turn), _CHANGES).groupBy("block").applyInArrow(_averaged, _CHANGES)
         changes = staged(changes, "toxic_round")  # so that no round's shuffle files outlast it
-        rows, sums = np.concatenate([model.flat(), np.zeros((1, SIZE), np.float32)]), np.concatenate([model.flat(past), np.zeros((1, SIZE), np.float32)])
+        rows, sums = (np.concatenate([model.flat(v), np.zeros((1, SIZE), np.float32)]) for v in (model.params, past))
         for r in changes.collect():
             at = np.frombuffer(r["at"], "<i4")
-            rows[at] += np.frombuffer(r["moved"], np.float32).reshape(-1, SIZE)
-            sums[at] += np.frombuffer(r["mass"], np.float32).reshape(-1, SIZE)
-        bias, parts = model.bias + rows[-1, 0], model.shaped(rows[:-1])
-        past = model.shaped(sums[:-1])
-        for p, new in zip(model.params, parts, strict=True):
+            rows[at] = np.frombuffer(r["new"], np.float32).reshape(-1, SIZE)
+            sums[at] = sums[at].astype(float) + np.frombuffer(r["mass"]).reshape(-1, SIZE)
+        for p, new in zip(model.params, model.shaped(rows[:-1]), strict=True):
             p[...] = new
-        model.bias = np.float32(bias)
+        model.bias, past = rows[-1, 0], model.shaped(sums[:-1])
         shared.destroy()
     return model
 
